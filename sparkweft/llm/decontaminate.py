@@ -29,6 +29,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SPACE_CLASS + "+"), lambda w: w != "")
 
 
+def with_words(df: DataFrame, key: str) -> DataFrame:
+    """(key, w): the words as a column of their own, so that lambdas read them and don't split again."""
+    return df.select(key, words(F.col("text")).alias("w"))
+
+
 def shingle_hashes(w: Column, n: int = WORDS) -> Column:
     """64-bit hashes of the n-word shingles; fewer words give one shingle, no words give none."""
     full = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]))
@@ -45,7 +50,7 @@ def item_signatures(items: DataFrame, containment: float = CONTAINMENT) -> DataF
 
     ``size_class`` is the power of two at or above the item's number of shingles.
     """
-    sets = items.select("item_id", F.sort_array(F.array_distinct(shingle_hashes(words(F.col("text"))))).alias("s")).filter(F.size("s") > 0)
+    sets = with_words(items, "item_id").select("item_id", F.sort_array(F.array_distinct(shingle_hashes(F.col("w")))).alias("s")).filter(F.size("s") > 0)
     sized = sets.withColumn("n_item", F.size("s").cast("long")).withColumn("keep", signature_size(F.col("n_item"), containment))
     cls = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n_item").cast("double")))).cast("long")
     return sized.select("item_id", "n_item", "keep", cls.alias("size_class"), F.posexplode("s").alias("at", "h")).select(
@@ -67,7 +72,7 @@ def contained_items(docs: DataFrame, items: DataFrame, containment: float = CONT
     signatures = item_signatures(items, containment).distinct()
     if signatures.count() <= BROADCAST_SHINGLES:
         signatures = F.broadcast(signatures)
-    found = docs.select("doc_id", F.explode(shingle_hashes(words(F.col("text")))).alias("h")).join(signatures, "h")
+    found = with_words(docs, "doc_id").select("doc_id", F.explode(shingle_hashes(F.col("w"))).alias("h")).join(signatures, "h")
     pairs = found.groupBy("doc_id", "item_id", "size_class", "n_item").agg(
         F.count_distinct("h").alias("n_found"), F.bool_or("is_minimum").alias("candidate")
     )
@@ -86,11 +91,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, containment: float = CONTAI
 
 #: The same pairs in plain SQL (DuckDB), by all shingles of all items.
 SQL = r"""
-WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
-i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM benchmark),
-ds AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), k -> array_to_string(w[k:k+4], ' '))
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
+ds AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k+4], ' '))
                                   WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
-it AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), k -> array_to_string(w[k:k+4], ' '))
+it AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k+4], ' '))
                                             WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM i),
 n AS (SELECT item_id, count(*) AS n_item FROM it GROUP BY item_id),
 f AS (SELECT ds.doc_id, it.item_id, count(DISTINCT ds.s) AS n_found FROM ds JOIN it USING (s) GROUP BY ALL)
