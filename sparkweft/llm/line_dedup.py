@@ -50,6 +50,13 @@ def common_lines(keys: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return keys.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper")).filter(F.col("n_docs") >= min_docs)
 
 
+def line_drops(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(doc_id, drop): the keys that each document loses."""
+    keys = line_keys(docs, min_chars)
+    lost = keys.join(common_lines(keys, min_docs), "key").filter(F.col("doc_id") != F.col("keeper"))
+    return lost.groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
+
+
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """Drop lines that many documents share; returns doc_id, n_lines, n_dropped, kept_text.
 
@@ -60,14 +67,7 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     counts, is never the keeper unless no other row is, and stays as it is. An empty
     table gives an empty result. Other columns are left out, whatever their names.
     """
-    keys = line_keys(docs, min_chars)
-    common = common_lines(keys, min_docs)
-    drops = (
-        keys.join(common, "key")
-        .filter(F.col("doc_id") != F.col("keeper"))
-        .groupBy("doc_id")
-        .agg(F.collect_set("key").alias("drop"))
-    )
+    drops = line_drops(docs, min_chars, min_docs)
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(drops.hint("shuffle_hash"), "doc_id", "left")
 
     def step(batch: pa.RecordBatch) -> dict:
@@ -98,6 +98,27 @@ def line_digest(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     return line_dedup(docs, min_chars, min_docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """The documents with all their columns, common lines dropped from ``text``; ``n_chars`` follows where there is one.
+
+    Only documents that lose a line change; a null text stays null.
+    """
+    drops = line_drops(docs, min_chars, min_docs).select(F.col("doc_id").alias("__id"), "drop").hint("shuffle_hash")
+    joined = docs.join(drops.withColumnRenamed("drop", "__drop"), F.col("doc_id").cast("long") == F.col("__id"), "left")
+
+    @F.arrow_udf("string")
+    def kept(text: pa.Array, drop: pa.Array) -> pa.Array:
+        out = []
+        for t, d in zip(text.cast(pa.binary()).to_pylist(), drop.to_pylist(), strict=True):
+            gone = set(d or ())
+            out.append(b"\n".join(x for x in t.split(b"\n") if line_key(x, min_chars) not in gone) if t and gone else t)
+        return pa.array(out, pa.binary()).cast(pa.string())
+
+    new = joined.withColumn("__text", kept("text", "__drop"))
+    changed = {"text": F.col("__text")} | ({"n_chars": F.when(F.col("__drop").isNull(), docs["n_chars"]).otherwise(F.length("__text"))} if "n_chars" in docs.columns else {})
+    return new.select(*[changed[c].alias(c) if c in changed else docs[c] for c in docs.columns])
+
+
 def reference(rows: list[tuple[int, str | None]], min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> dict[int, tuple[int, int, str]]:
     """Brute force for tests: {doc_id: (n_lines, n_dropped, sha256)}."""
     held: dict[bytes, set[int]] = {}
