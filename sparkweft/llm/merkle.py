@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import column, parts, slices
 
-#: One space in so many ends a piece; one paragraph in so many ends a section.
-PIECE, SECTION = 4, 8
+#: One space in so many ends a piece (every one in paragraphs up to SHORT bytes); one paragraph in so many ends a section.
+PIECE, SECTION, SHORT = 4, 8, 256
 #: Ranges of ids for each shuffle partition.
 RANGES = 4
 
@@ -45,8 +45,8 @@ class Tree:
 def piece_ends(line: bytes) -> list[int]:
     """Where the pieces of a paragraph end."""
     b = np.frombuffer(line, np.uint8)
-    at = np.flatnonzero(b[3:] == 32) + 3 if len(b) > 3 else np.empty(0, np.int64)
-    if len(at):
+    at = np.flatnonzero(b[3:] == 32) + 3
+    if len(b) > SHORT and len(at):
         x = b[at - 1].astype(np.uint32) * 31 + b[at - 2] * np.uint32(7) + b[at - 3]
         at = at[(x * np.uint32(2654435761) >> np.uint32(16)) % PIECE == 0]
     out = (at + 1).tolist()
