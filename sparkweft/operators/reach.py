@@ -110,7 +110,7 @@ def mst(closure: DataFrame) -> DataFrame:
         side = lambda k: label.select(P, F.col("node").alias(k), F.col("c").alias(f"c{k}"))
         cross = pairs.join(side("u"), [P, "u"]).join(side("v"), [P, "v"]).filter("cu <> cv")
         ends = cross.select(P, F.col("cu").alias("c"), "u", "v", "weight", "cu", "cv").unionByName(cross.select(P, F.col("cv").alias("c"), "u", "v", "weight", "cu", "cv"))
-        best = cut(ends.groupBy(P, "c").agg(F.min(F.struct("weight", "u", "v", "cu", "cv")).alias("e")).select(P, "e.*").distinct())
+        best = cut(ends.groupBy(P, "c").agg(F.min(F.struct("weight", "u", "v", "cu", "cv")).alias("__edge")).select(P, "__edge.*").distinct())
         if best.isEmpty():
             break
         own = best.select(P, "u", "v", "weight")

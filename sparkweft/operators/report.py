@@ -75,9 +75,9 @@ def attack_subgraph(blast: DataFrame, paths: DataFrame) -> tuple[DataFrame, Data
     """Nodes (project_id, id, type) and links (project_id, source, target) behind the attack paths; ids are strings."""
     text = lambda c: F.col(c).cast("string")
     vuln = blast.select(P, text("source_node").alias("id"))
-    steps = paths.select(P, F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.get("path", i - 1).cast("string").alias("source"), F.get("path", i).cast("string").alias("target")))).alias("l")).select(P, "l.*")
+    steps = paths.select(P, F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.get("path", i - 1).cast("string").alias("source"), F.get("path", i).cast("string").alias("target")))).alias("__link")).select(P, "__link.*")
     links = vuln.select(P, F.lit(ROOT).alias("source"), F.col("id").alias("target")).unionByName(steps).distinct()
-    seen = paths.select(P, F.explode("path").cast("string").alias("id")).unionByName(vuln).distinct()
+    seen = paths.select(P, F.explode(F.transform("path", lambda x: x.cast("string"))).alias("id")).unionByName(vuln).distinct()
     typed = seen.join(vuln.distinct().withColumn("v", F.lit(True)), [P, "id"], "left").select(P, "id", F.when(F.col("v"), "vuln").otherwise("transitive").alias("type"))
     roots = blast.select(P, F.lit(ROOT).alias("id"), F.lit("root").alias("type")).distinct()
     return roots.unionByName(typed.filter(F.col("id") != ROOT)), links

@@ -57,7 +57,7 @@ _BLAST = _REACH + (
     "FROM vuln v LEFT JOIN hit h ON h.project_id = v.project_id AND h.source = v.name LEFT JOIN sinks o ON o.node = v.name WHERE v.cvss_score > 0)"
     ", levelled AS (SELECT *, CASE WHEN list_has_any(all_types, ['credential', 'crypto']) THEN 'CRITICAL' WHEN list_has_any(all_types, ['database', 'file_write']) THEN 'HIGH' WHEN list_contains(all_types, 'network') THEN 'MEDIUM' ELSE 'LOW' END AS level FROM typed)"
     ", blast AS (SELECT *, CASE level WHEN 'CRITICAL' THEN 3.0 WHEN 'HIGH' THEN 2.0 WHEN 'MEDIUM' THEN 1.5 ELSE 1.0 END::DOUBLE AS mult FROM levelled)"
-    ", scored AS (SELECT *, round(cvss_score * log2(1 + n) * mult, 4) AS score FROM blast)"
+    ", scored AS (SELECT *, round_even(cvss_score * log2(1 + n) * mult, 4) AS score FROM blast)"
 )
 _BAND = "CASE WHEN {0} >= 9 THEN 'CRITICAL' WHEN {0} >= 7 THEN 'HIGH' WHEN {0} >= 4 THEN 'MEDIUM' WHEN {0} > 0 THEN 'LOW' ELSE 'CLEAN' END"
 
@@ -224,18 +224,18 @@ def ancestor_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reach.reachable(edges, seeds, "up").groupBy(P, "source").agg(F.count(F.lit(1)).alias("upstream"))
 
 
-@query(sql=_ALL + f", {_VULN}{_BLAST}, t AS (SELECT project_id, count(*) AS total FROM nodes GROUP BY ALL) SELECT s.project_id, s.name, s.cvss_score, s.n AS downstream, round(s.cvss_score * (1 + CASE WHEN t.total <= 1 THEN 0 ELSE ln(1 + s.n) / ln(t.total) END), 3) AS topological_risk_score FROM scored s JOIN t USING (project_id)")
+@query(sql=_ALL + f", {_VULN}{_BLAST}, t AS (SELECT project_id, count(*) AS total FROM nodes GROUP BY ALL) SELECT s.project_id, s.name, s.cvss_score, s.n AS downstream, round_even(s.cvss_score * (1 + CASE WHEN t.total <= 1 THEN 0 ELSE ln(1 + s.n) / ln(t.total) END), 4) AS topological_risk_score FROM scored s JOIN t USING (project_id)")
 def topo_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = Portfolio.of(spark, sf_dir)
-    return risk.topological_risk(p.edges, p.nodes, p.vuln, p.closure).withColumn("topological_risk_score", F.round("topological_risk_score", 3))
+    return risk.topological_risk(p.edges, p.nodes, p.vuln, p.closure)
 
 
 @query(
-    sql=_ALL + f", {_VULN}{_BLAST} SELECT project_id, name AS source_node, cve_id, cvss_score, n AS reachable_count, n_sinks, array_to_string(types, ',') AS sink_types, level AS data_sensitivity, score AS blast_radius_score, row_number() OVER (PARTITION BY project_id ORDER BY score DESC, name) AS rank, CASE WHEN max(score) OVER (PARTITION BY project_id) > 0 THEN round(score / max(score) OVER (PARTITION BY project_id), 3) ELSE 0 END AS relative FROM scored"
+    sql=_ALL + f", {_VULN}{_BLAST} SELECT project_id, name AS source_node, cve_id, cvss_score, n AS reachable_count, n_sinks, array_to_string(types, ',') AS sink_types, level AS data_sensitivity, score AS blast_radius_score, row_number() OVER (PARTITION BY project_id ORDER BY score DESC, name) AS rank, CASE WHEN max(score) OVER (PARTITION BY project_id) > 0 THEN round_even(score / max(score) OVER (PARTITION BY project_id), 4) ELSE 0 END AS relative FROM scored"
 )
 def blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = risk.relative_blast(Portfolio.of(spark, sf_dir).blast)
-    return rows.select(P, "source_node", "cve_id", "cvss_score", "reachable_count", F.size("sinks_reachable").alias("n_sinks"), F.array_join(F.sort_array("sink_types"), ",").alias("sink_types"), "data_sensitivity", "blast_radius_score", "rank", F.round("relative", 3).alias("relative"))
+    return rows.select(P, "source_node", "cve_id", "cvss_score", "reachable_count", F.size("sinks_reachable").alias("n_sinks"), F.array_join(F.sort_array("sink_types"), ",").alias("sink_types"), "data_sensitivity", "blast_radius_score", "rank", "relative")
 
 
 _PATHS = (
@@ -261,7 +261,7 @@ def _closure(edges: str) -> str:
 
 
 def _scc(edges: str) -> str:
-    return _closure(edges) + f", nd AS (SELECT project_id, src AS node FROM {edges} UNION SELECT project_id, dst FROM {edges}), comp AS (SELECT n.project_id, n.node, least(n.node, coalesce(min(a.dst), n.node)) AS scc_id FROM nd n LEFT JOIN (SELECT a.project_id, a.src, a.dst FROM cl a JOIN cl b ON a.project_id = b.project_id AND a.src = b.dst AND a.dst = b.src) a ON a.project_id = n.project_id AND a.src = n.node GROUP BY ALL)"
+    return _closure(edges) + f", nd AS (SELECT project_id, src AS node FROM {edges} UNION SELECT project_id, dst FROM {edges}), comp AS (SELECT n.project_id, n.node, least(n.node, coalesce(min(a.dst), n.node)) AS scc_id FROM nd n LEFT JOIN (SELECT a.project_id, a.src, a.dst FROM cl a JOIN cl b ON a.project_id = b.project_id AND a.src = b.dst AND a.dst = b.src) a ON a.project_id = n.project_id AND a.src = n.node GROUP BY n.project_id, n.node)"
 
 
 @query(sql=with_tables("edges_c") + _scc("edges_c") + " SELECT project_id, node, scc_id FROM comp")
@@ -422,7 +422,7 @@ def cve_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly snapshots from the events, as a stream run to its end; the changes it wrote."""
     path = f"{sf_dir}/events.parquet"
-    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events.parque[t]")  # a file or a folder
     rows = events.select(F.col("user_id").cast("string").alias(P), F.date_trunc("week", "ts").cast("timestamp").alias("taken_at"), F.col("event_type").alias("name"), F.floor(F.col("value") / 20).cast("bigint").cast("string").alias("version"))
     base = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
     run = f"{base}/changes-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
