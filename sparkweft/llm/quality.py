@@ -108,7 +108,7 @@ class Neighbours:
         for i in range(0, len(bags), BLOCK):
             cosine = self.project(bags[i : i + BLOCK]) @ self.vectors.T
             near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            weight = np.clip(np.take_along_axis(cosine, near, 1), 1e-6, 1) ** 8
+            weight = np.clip(np.take_along_axis(cosine, near, 1).astype(np.float64), 1e-3, 1) ** 8
             out.append((weight * self.labels[near]).sum(1) / weight.sum(1))
         return np.clip(np.concatenate(out), 0, 1)
 
