@@ -22,6 +22,8 @@ from .common import WORD_CLASS, cut, parts
 
 #: Documents of a bucket, the fan-in of the reduction tree.
 FAN_IN = 4096
+#: A table of up to so many sources is broadcast (about 100 bytes each).
+BROADCAST_SOURCES = 100_000
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
@@ -153,6 +155,9 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     targets = source_targets(sources.select("source", "source_size"), weights, share, most)
     named = targets.withColumnRenamed("source", "__source")
     counted = sources.join(named.drop("source_size"), F.col("source").eqNullSafe(F.col("__source"))).withColumnRenamed("source", "__of").drop("__source")
+    largest, n_sources = sources.agg(F.max("__n"), F.count(F.lit(1))).first()
+    if n_sources <= BROADCAST_SOURCES:  # else Spark joins them by shuffling, and splits a hot source
+        counted = F.broadcast(counted)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = (
         sized.join(counted, F.col("source").eqNullSafe(F.col("__of")))
@@ -161,8 +166,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
         .withColumn("copies", F.lit(0).cast("long"))
         .withColumn("__uid", F.xxhash64(F.col("doc_id"), F.lit(seed)))
     )
-    largest = sources.agg(F.max("__n")).first()[0] or 0
-    levels = max(1, math.ceil(math.log(max(largest, 2), FAN_IN)))
+    levels = max(1, math.ceil(math.log(max(largest or 0, 2), FAN_IN)))
     settled = None
     for level in range(levels):
         done = cut(reduce_level(rows, level, seed, level == levels - 1))
