@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, column
+from .common import arrow_map, column, cut
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -70,7 +70,8 @@ def length_histogram(counts: DataFrame) -> DataFrame:
     lengths follow from the row of the next length L above the limit: tokens_total -
     tokens_from + limit * docs_from. An empty table gives an empty result.
     """
-    h = counts.groupBy("n_tokens").agg(F.sum("n").alias("n_docs")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
+    # read twice below: the texts are encoded once, and a row per length is kept
+    h = cut(counts.groupBy("n_tokens").agg(F.sum("n").alias("n_docs")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK)))
     down = Window.partitionBy("block").orderBy(F.desc("n_tokens"))
     own = h.withColumn("d", F.sum("n_docs").over(down)).withColumn("t", F.sum(F.col("n_docs") * F.col("n_tokens")).over(down))
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("bt"))
