@@ -4,9 +4,10 @@ Exact copies of a shingle set are folded first (a partially aggregated group-by
 128-bit digest). Each remaining set gets a SetSketch: registers that hold the minimum
 of its elements' exponential variates on a scale of powers of ``BASE``, truncated to
 16 bits. Bands of registers are bucket keys. Buckets are compared hub by hub, not all
-pairs: round 0 compares every member with its bucket's smallest id; later rounds take
-more and more members as hubs, but only in buckets whose members are still in
-different components and only across components, until every such pair was looked at.
+pairs: round 0 compares every member with its bucket's most central one; later rounds
+take more and more members as hubs, but only in buckets whose members are still in
+different components, only across components and only pairs that can still reach the
+similarity, until every such pair was looked at.
 A pair first passes the joint likelihood estimate of two sketches (with a margin of
 five standard errors), then the exact test on full shingle sets. Components come from
 alternating large-star and small-star rounds.
@@ -127,8 +128,8 @@ def estimated(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return arrow_map(pairs.join(side("a"), "a").join(side("b"), "b"), step, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) of documents whose full shingle sets reach the similarity.
+def overlaps(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b, common, n_a, n_b): sizes of the pairs' full shingle sets and of what they share.
 
     A hub's members are split into shares of about HUB_SHARE; the hub's text goes to
     each share once. A share is read as a stream, the hub first.
@@ -147,7 +148,7 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: int = SIMILARITY) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, hubs = None, []
         for batch in batches:
-            a_out, b_out = [], []
+            out = []
             keys = zip(*(column(batch, k).to_pylist() for k in ("a", "share", "side", "id")), strict=True)
             for (a, share, side, i), text in zip(keys, texts(batch), strict=True):
                 if (a, share) != at:
@@ -156,15 +157,17 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: int = SIMILARITY) ->
                 if side == 0:
                     hubs.append(s)
                     continue
-                for hub in hubs:
-                    both = len(np.intersect1d(hub, s, assume_unique=True))
-                    if both and 100 * both >= similarity * (len(hub) + len(s) - both):
-                        a_out.append(a)
-                        b_out.append(i)
-                        break
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
+                out += [(a, i, len(np.intersect1d(hub, s, assume_unique=True)), len(hub), len(s)) for hub in hubs]
+            columns = zip(*out) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "common", "n_a", "n_b"])
+
+    return rows.mapInArrow(run, "a long, b long, common long, n_a long, n_b long")
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+
+def verified(pairs: DataFrame, docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) of documents whose full shingle sets reach the similarity."""
+    linked = F.col("common") * (100 + similarity) >= (F.col("n_a") + F.col("n_b")) * similarity
+    return overlaps(pairs, docs).filter((F.col("common") > 0) & linked).select("a", "b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -174,7 +177,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         sides = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = sides.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = sides.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = sides.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         edges = cut(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
@@ -187,40 +190,99 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
+def merged(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """The labels after more links (a, b): only the links between labels are searched for components."""
+    side = lambda k: labels.select(F.col("node").alias(k), F.col("label").alias(f"l_{k}"))
+    both = found.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    step = cut(components(both.select(F.coalesce("l_a", "a").alias("a"), F.coalesce("l_b", "b").alias("b"))))
+    moved = labels.join(step.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
+    fresh = step.join(labels.select("node"), "node", "left_anti")
+    return moved.select("node", F.coalesce("to", "label").alias("label")).unionByName(fresh)
+
+
+def lone_shingles(docs: DataFrame, some: DataFrame) -> DataFrame:
+    """(node, lone): how many shingles of each node stand in no other of ``some`` nodes."""
+    if some.count() <= BROADCAST_ROWS:
+        some = F.broadcast(some)
+
+    def step(batch: pa.RecordBatch) -> dict:
+        sets = [shingle_set(t) for t in texts(batch)]
+        node = np.repeat(column(batch, "node").to_numpy(), [len(s) for s in sets])
+        return {"node": pa.array(node, pa.int64()), "h": pa.array(np.concatenate(sets).view(np.int64), pa.int64())}
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(some, "node")
+    own = arrow_map(rows, step, "node long, h long").groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
+    return own.filter("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
+
+
+def open_members(members: DataFrame) -> DataFrame:
+    """The members of buckets that still hold nodes of different components."""
+    open_ = members.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least_n"), F.count(F.lit(1)).alias("size")).filter("lo < hi")
+    return members.drop("least_n", "size").join(open_.select("band", "least_n", "size"), "band")
+
+
 def near_links(docs: DataFrame, nodes: DataFrame, similarity: int = SIMILARITY) -> DataFrame | None:
-    """(node, label) of the nodes that are linked with another, None without any candidate."""
+    """(node, label) of the nodes that are linked with another, None without any candidate.
+
+    Round 0 takes as a bucket's hub its most central member, the one whose buckets hold
+    most. Of what is open then, exact bounds on a pair's overlap decide what goes on. A
+    node's lone shingles are in no other open node, so at most n - lone can be common.
+    For two nodes with the same central node h, what is common lies in h (at most the
+    smaller overlap with h) or not (at most the smaller number of shingles neither
+    lone nor in h). Pairs that can't reach the similarity go no further; the rest is
+    compared round by round.
+    """
     rows = banded(nodes)
-    buckets = rows.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size")).filter("hub < last")
-    members = cut(rows.join(buckets.drop("last"), "band"))
-    largest = members.agg(F.max("size")).first()[0]
-    if largest is None:
+    buckets = rows.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size")).filter("first < last")
+    members = cut(rows.join(buckets.select("band", "size"), "band"))
+    if members.isEmpty():
         return None
-    near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * similarity
-    tested = links = labels = None
-    for k in range(2 + int(math.log(largest, 8))):
-        if k == 0:
-            pairs = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-        else:
-            now = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            open_ = now.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("band")
-            members = cut(now.join(open_, "band"))
-            # ids are ranked by the trailing octal zeros of a hash: each round takes about eight times as many hubs
-            zeros = F.length(F.regexp_extract(F.conv(F.abs(F.xxhash64("node")).cast("string"), 10, 8), "0*$", 0))
-            hubs = members.filter(zeros >= F.greatest(F.lit(0), F.floor(F.log2(F.col("size").cast("double")) / 3 + 1e-9) - k))
-            left = hubs.select("band", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("n_a"))
-            right = members.select("band", F.col("node").alias("y"), F.col("label").alias("ly"), F.col("n").alias("n_b"))
-            pairs = left.join(right, "band").filter((F.col("lx") != F.col("ly")) & near)
-            pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        members = members.drop("label")
-        if pairs.isEmpty():
-            if k == 0:
-                return None
-            continue
-        found = verified(cut(estimated(pairs, nodes, similarity / 100 - MARGIN)), docs, similarity)
-        links = cut(found if links is None else found.unionByName(links))
-        labels = cut(components(links))
+    score = members.groupBy("node").agg(F.sum("size").alias("score"))
+    hubs = members.join(score, "node").groupBy("band").agg(F.max_by("node", F.struct("score", -F.col("node"))).alias("hub"))
+    pairs = cut(members.join(hubs, "band").filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    central = pairs.join(score.select(F.col("node").alias("a"), "score"), "a").groupBy(F.col("b").alias("node")).agg(F.max_by("a", F.struct("score", -F.col("a"))).alias("centre"))
+    central = cut(central)
+    tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    labels = cut(components(verified(cut(estimated(pairs, nodes, similarity / 100 - MARGIN)), docs, similarity)))
+
+    relabel = lambda m: m.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    members = cut(open_members(relabel(members.drop("size"))))
+    if members.isEmpty():
+        return labels
+    open_nodes = members.select("node").distinct()
+    refs = cut(central.join(open_nodes, "node", "left_semi").select(F.col("centre").alias("a"), F.col("node").alias("b")))
+    centres = refs.select(F.col("a").alias("node"))
+    lone = lone_shingles(docs, open_nodes.unionByName(centres).distinct())  # with the centres: no lone shingle lies in one
+    within = overlaps(refs, docs).groupBy(F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("texts"), F.min("a").alias("centre"), F.min("common").alias("inside")).filter("texts = 1").drop("texts")
+    own = centres.distinct().withColumn("self", F.col("node"))
+    members = members.join(lone, "node", "left").join(within, "node", "left").join(own, "node", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
+    members = members.withColumn("inside", F.coalesce("inside", F.when(F.col("self").isNotNull(), F.col("n")))).withColumn("centre", F.coalesce("centre", "self"))
+    members = members.withColumn("most", F.col("n") - F.col("lone")).withColumn("outside", F.greatest(F.lit(0), F.col("most") - F.col("inside")))
+    members = cut(members.drop("self"))
+    reach = lambda common, x, y: common * (100 + similarity) >= (x + y) * similarity
+    smallest = F.greatest("least_n", F.ceil(F.col("n") * similarity / 100))
+    members = cut(open_members(members.filter(reach(F.col("most"), F.col("n"), smallest)).drop("lone")))
+    k = 0
+    while not members.isEmpty():
+        k += 1
+        # nodes are ranked by the trailing octal zeros of a hash: each round takes about eight times as many as hubs
+        zeros = F.length(F.regexp_extract(F.conv(F.abs(F.xxhash64("node")).cast("string"), 10, 8), "0*$", 0))
+        least = F.greatest(F.lit(0), F.floor(F.log2(F.col("size").cast("double")) / 3 + 1e-9) - k)
+        side = lambda m, i: m.select("band", F.col("node").alias(f"x{i}"), F.col("label").alias(f"l{i}"), F.col("n").alias(f"n{i}"), F.col("most").alias(f"m{i}"), F.col("centre").alias(f"c{i}"), F.col("inside").alias(f"i{i}"), F.col("outside").alias(f"o{i}"))
+        split = F.when(F.col("c1") == F.col("c2"), F.least("i1", "i2") + F.least("o1", "o2"))
+        both = side(members.filter(zeros >= least), 1).join(side(members, 2), "band")
+        both = both.filter((F.col("l1") != F.col("l2")) & reach(F.least("m1", "m2", F.coalesce(split, "m1")), F.col("n1"), F.col("n2")))
+        pairs = cut(both.select(F.least("x1", "x2").alias("a"), F.greatest("x1", "x2").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
+        last = members.filter(least > 0).isEmpty()  # every member of every bucket was a hub
+        if not pairs.isEmpty():
+            tested = tested.unionByName(pairs)
+            found = cut(verified(cut(estimated(pairs, nodes, similarity / 100 - MARGIN)), docs, similarity))
+            if not found.isEmpty():
+                labels = cut(merged(labels, found))
+                members = members if last else relabel(members)
+        if last:
+            break
+        members = cut(open_members(members))
     return labels
 
 
