@@ -19,7 +19,7 @@ from .sources import cve_feed, manifests
 from .streaming import changes
 
 P = "project_id"
-#: Hops of the terminals' distances in the registered queries.
+#: Hops of the distances in the SQL twins; the queries themselves have no bound.
 HOPS = 4
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -310,7 +310,7 @@ def patch_terminals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql=_ALL + f", {_VULN}{_BLAST}{_TERMS}{_DIST} SELECT project_id, u, v, weight FROM clo")
 def metric_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = Portfolio.of(spark, sf_dir)
-    return reach.metric_closure(p.edges, patchset.terminals(p.blast), HOPS).select(P, "u", "v", "weight")
+    return reach.metric_closure(p.edges, patchset.terminals(p.blast)).select(P, "u", "v", "weight")
 
 
 @query(
@@ -319,7 +319,7 @@ def metric_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def closure_mst(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = Portfolio.of(spark, sf_dir)
-    return reach.mst(reach.metric_closure(p.edges, patchset.terminals(p.blast), HOPS)).select(P, "u", "v", "weight")
+    return reach.mst(reach.metric_closure(p.edges, patchset.terminals(p.blast))).select(P, "u", "v", "weight")
 
 
 @query(
@@ -347,7 +347,7 @@ def update_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def minimum_patch_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Portfolio.of(spark, sf_dir, HOPS).patch
+    return Portfolio.of(spark, sf_dir).patch
 
 
 # Reports.
@@ -407,7 +407,7 @@ def report_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def scan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Portfolio.of(spark, sf_dir, HOPS).report()
+    return Portfolio.of(spark, sf_dir).report()
 
 
 @query(sql="SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 0.9 WHEN 1 THEN 0.3 WHEN 2 THEN least(1, p_size / 20) ELSE 0 END::DOUBLE AS confidence, CASE p_partkey % 3 WHEN 0 THEN '' ELSE concat('a', p_size, '|b') END AS breaking, CASE WHEN p_partkey % 2 = 0 THEN concat('{\"k\": ', p_size, '}') END AS found FROM part")
