@@ -1,7 +1,7 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and pieces.
 
-A paragraph is a line; its leaves are pieces of a few words that end where the bytes
-before a space say so, so that an edit changes the pieces it touches and no others.
+A paragraph is a line; its leaves are pieces that end after each space, whatever the
+paragraph's length, so that an edit changes the pieces it touches and no others.
 A paragraph's hash covers its pieces, a section's its paragraphs, the root's the
 sections. A section ends at a blank line, before a heading (``#``), or after a
 paragraph whose hash says so. Equal roots mean equal texts; from unequal roots the
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import column, parts, slices
 
-#: One space in so many ends a piece (every one in paragraphs up to SHORT bytes); one paragraph in so many ends a section.
-PIECE, SECTION, SHORT = 4, 8, 256
+#: One paragraph in so many ends a section.
+SECTION = 8
 #: Ranges of ids for each shuffle partition.
 RANGES = 4
 
@@ -44,12 +44,7 @@ class Tree:
 
 def piece_ends(line: bytes) -> list[int]:
     """Where the pieces of a paragraph end."""
-    b = np.frombuffer(line, np.uint8)
-    at = np.flatnonzero(b[3:] == 32) + 3
-    if len(b) > SHORT and len(at):
-        x = b[at - 1].astype(np.uint32) * 31 + b[at - 2] * np.uint32(7) + b[at - 3]
-        at = at[(x * np.uint32(2654435761) >> np.uint32(16)) % PIECE == 0]
-    out = (at + 1).tolist()
+    out = (np.flatnonzero(np.frombuffer(line, np.uint8) == 32) + 1).tolist()
     return out if out and out[-1] == len(line) else [*out, len(line)]
 
 

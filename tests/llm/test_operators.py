@@ -325,6 +325,14 @@ def test_edits_are_located():
     assert mine == [] and other == [5]
 
 
+def test_pieces_do_not_depend_on_the_length_of_their_paragraph():
+    rng = random.Random(4)
+    w = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(80)]
+    long, short = " ".join(w) + " ", " ".join(w[:40]) + " "  # 480 and 240 bytes
+    assert merkle.piece_ends(long.encode())[: len(merkle.piece_ends(short.encode()))] == merkle.piece_ends(short.encode())
+    assert merkle.likeness(merkle.tree(long), merkle.tree(short))[0] == 2 / 3  # all of the short one, half of the long one
+
+
 def test_token_histogram(docs, none):
     texts = [r[1] or "" for r in ROWS]
     encode = token_counts.encoder(f"{token_counts.TOKENIZERS}/{token_counts.VOCABULARY}").encode_ordinary
