@@ -340,9 +340,9 @@ def patch_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     + ", e AS (SELECT project_id, src, dst FROM edges_dag WHERE src % 2 = 0 AND dst % 2 = 0), lv AS (SELECT project_id, src AS node, 0 AS level FROM e UNION SELECT l.project_id, e.dst, l.level + 1 FROM lv l JOIN e ON e.project_id = l.project_id AND e.src = l.node), mx AS (SELECT project_id, node, max(level) AS level FROM lv GROUP BY ALL) SELECT n.project_id, n.name AS package, row_number() OVER (PARTITION BY n.project_id ORDER BY coalesce(m.level, 0), n.name) - 1 AS update_rank FROM nodes n LEFT JOIN mx m ON m.project_id = n.project_id AND m.node = n.name WHERE n.name % 2 = 0"
 )
 def update_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The order of every second package of each project, by the acyclic edges."""
-    edges, nodes = bridge(spark, sf_dir, "edges_dag", "nodes")
-    return patchset.update_order(edges, cut(nodes.filter("name % 2 = 0").select(P, F.col("name").alias("package"))))
+    """The order of all packages of each project, by all edges, cycles broken."""
+    edges, nodes = bridge(spark, sf_dir, "edges_p", "nodes")
+    return patchset.update_order(cut(edges), cut(nodes.select(P, F.col("name").alias("package"))))
 
 
 @query

@@ -46,3 +46,9 @@ def test_packages_between_far_terminals_are_candidates(spark, far):
 
 def test_report_has_the_unbounded_patch_set(spark, far):
     assert run(spark, "scan_report", far).first()["minimum_patch_set"]["packages_to_update"] == [4]
+
+
+def test_update_order_has_all_packages_and_breaks_cycles(spark, tmp_path):
+    folder = tables(spark, tmp_path, [(1, 1, [13, 1, 2, 4]), (2, 1, [4, 1])])
+    got = run(spark, "update_order", folder).orderBy("update_rank").collect()
+    assert [r["package"] for r in got] == [13, 1, 2, 4]  # 4 > 1 goes: 1 has the higher in-degree
