@@ -329,10 +329,11 @@ def closure_mst(spark: SparkSession, sf_dir: str) -> DataFrame:
     ", kept AS (SELECT DISTINCT project_id, package FROM first UNION SELECT project_id, node FROM terms WHERE project_id NOT IN (SELECT project_id FROM full_)) SELECT k.project_id, k.package, coalesce(c.covered, 0) AS covered FROM kept k LEFT JOIN cv c USING (project_id, package)"
 )
 def patch_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cover with the terminals as the only candidates."""
+    """The cover with the terminals and the packages between them as candidates."""
     p = Portfolio.of(spark, sf_dir)
     ends = cut(patchset.terminals(p.blast))
-    return patchset.path_cover(ends.select(P, F.col("node").alias("package")), p.path_rows, ends)
+    closure = cut(reach.metric_closure(p.edges, ends))
+    return patchset.path_cover(patchset.patch_candidates(reach.mst(closure), closure, ends), p.path_rows, ends)
 
 
 @query(

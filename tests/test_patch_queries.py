@@ -44,6 +44,10 @@ def test_packages_between_far_terminals_are_candidates(spark, far):
     assert (row["packages_to_update"], row["paths_covered"]) == ([4], 2)
 
 
+def test_cover_can_choose_packages_between_terminals(spark, far):
+    assert [tuple(r) for r in run(spark, "patch_cover", far).collect()] == [(1, 4, 2)]
+
+
 def test_report_has_the_unbounded_patch_set(spark, far):
     assert run(spark, "scan_report", far).first()["minimum_patch_set"]["packages_to_update"] == [4]
 
