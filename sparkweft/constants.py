@@ -44,6 +44,9 @@ ECOSYSTEM_HINTS = (
     ("maven", ("apache", "maven", "gradle", "java", "springframework")),
 )
 
+#: How each ecosystem's package manager is told to fetch the newest release of a package.
+UPGRADES = {"npm": "npm install {}@latest", "pip": "pip install --upgrade {}", "maven": "mvn versions:use-latest-releases -Dincludes={}"}
+
 
 def sink_table(spark: SparkSession) -> DataFrame:
     """(name, sink_type): the sensitive packages, a table of fixed size."""

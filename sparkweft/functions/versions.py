@@ -12,30 +12,57 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 KEY = "array<struct<n:bigint,s:string>>"
-_FULL = r"^v?(\d+)(?:\.(\d+))?(?:\.(\d+))?(?:\.(\d+))?(?:[.-](.+))?$"
+#: Numbers in front of a version, at most; fewer than LEAST are filled up with zeros.
+MOST, LEAST = 4, 3
 
 
 def _part(text: Column) -> Column:
     """A number if the text is digits that fit, else a string."""
-    n = F.when(text.rlike(r"^\d{1,18}$"), text.cast("bigint"))
+    n = F.when(text.rlike("^[0-9]{1,18}$"), text.cast("bigint"))
     return F.struct(n.alias("n"), F.when(n.isNull(), text).alias("s"))
 
 
+def _word(text: Column) -> Column:
+    return F.array(F.struct(F.lit(None).cast("bigint").alias("n"), text.alias("s")))
+
+
+def _leading(pieces: Column) -> Column:
+    """How many pieces in front are digits alone."""
+    stop = F.array_position(F.transform(pieces, lambda p: p.rlike("^[0-9]+$")), F.lit(False))
+    return F.when(stop > 0, stop - 1).otherwise(F.size(pieces)).cast("int")
+
+
+def _filled(parts: Column) -> Column:
+    zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("string").alias("s"))
+    return F.concat(parts, F.array_repeat(zero, F.greatest(F.lit(0), F.lit(LEAST) - F.size(parts))))
+
+
 def parse_version(version: Column) -> Column:
-    """The key of a version; null, empty, ``*``, ``-`` and ``unknown`` are 0.0.0."""
-    v = F.trim(version)
-    groups = [F.regexp_extract(v, _FULL, i) for i in range(1, 6)]
-    zero = F.expr("named_struct('n', 0L, 's', cast(null as string))")
-    number = [F.when(g == "", zero).otherwise(_part(g)) for g in groups[:3]]
-    rest = F.struct(F.lit(None).cast("bigint").alias("n"), groups[4].alias("s"))
-    more = F.concat(F.when(groups[3] != "", F.array(_part(groups[3]))).otherwise(F.expr(f"cast(array() as {KEY})")), F.when(groups[4] != "", F.array(rest)).otherwise(F.expr(f"cast(array() as {KEY})")))
-    full = F.concat(F.array(*number), more)
-    pieces = F.split(version, r"[.\-]")
-    stop = F.array_position(F.transform(pieces, lambda p: p.rlike(r"^\d+$")), F.lit(False))
-    taken = F.transform(F.slice(pieces, F.lit(1), F.when(stop > 0, stop.cast("int")).otherwise(F.size(pieces))), _part)
-    loose = F.concat(taken, F.array_repeat(zero, F.greatest(F.lit(0), F.lit(3) - F.size(taken))))
+    """The key of a version; null, empty, ``*``, ``-`` and ``unknown`` are 0.0.0.
+
+    What stands before the first dash is split at dots; the numbers in front of it, four
+    at most, are the first parts, and all the rest of the text is one more part. A
+    separator with nothing behind it belongs to the rest, together with the number
+    before it. A version that doesn't begin with a number is split at dots and dashes,
+    up to its first part that is none.
+    """
+    bare = F.regexp_replace(F.trim(version), "^v(?=[0-9])", "")
+    dash = F.instr(bare, "-")
+    front = F.split(F.split_part(bare, F.lit("-"), F.lit(1)), "[.]")
+    label = F.when(dash > 0, F.substring(bare, dash + 1, F.length(bare)))
+    k = F.least(F.lit(MOST), _leading(front))
+    open_ = k < F.size(front)  # something else than numbers stands before the dash
+    behind = F.array_join(F.slice(front, k + 1, F.greatest(F.lit(0), F.size(front) - k)), ".")
+    rest = F.when(open_, F.concat(behind, F.when(dash > 0, F.concat(F.lit("-"), label)).otherwise(""))).otherwise(label)
+    bare_end = F.coalesce(rest == "", F.lit(False))
+    last = F.concat(F.element_at(front, F.greatest(k, F.lit(1))), F.when(open_, ".").otherwise("-"))
+    k, rest = F.when(bare_end, k - 1).otherwise(k), F.when(bare_end, last).otherwise(rest)
+    numbers = _filled(F.transform(F.slice(front, F.lit(1), F.greatest(k, F.lit(0))), _part))
+    regular = F.when(rest.isNull(), numbers).otherwise(F.concat(numbers, _word(rest)))
+    loose = F.split(version, "[-.]")
+    other = _filled(F.transform(F.slice(loose, F.lit(1), F.least(F.size(loose), _leading(loose) + 1)), _part))
     none = version.isNull() | version.isin("", "*", "-", "unknown")
-    return F.when(none, F.array(zero, zero, zero)).when(v.rlike(_FULL), full).otherwise(loose).cast(KEY)
+    return F.when(none, _filled(F.array().cast(KEY))).when(k >= 1, regular).otherwise(other).cast(KEY)
 
 
 def compare_keys(a: Column, b: Column) -> Column:

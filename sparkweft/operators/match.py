@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import normalise_name
-from ..functions.scores import bloom_params
+from ..functions.scores import bloom_bits, bloom_hashes
 from ..functions.versions import bound_key, parse_version, range_contains
 
 P = "project_id"
@@ -34,11 +34,11 @@ def match_cves(nodes: DataFrame, cves: DataFrame, ecosystem_aware: bool = False,
 
 
 def lookup_package_cves(packages: DataFrame, cves: DataFrame) -> DataFrame:
-    """CVE rows of packages (name, optional ecosystem); a CVE of unknown ecosystem suits any."""
+    """CVE rows of packages (name, optional ecosystem), in no order; a CVE of unknown ecosystem suits any."""
     p = packages.select(F.col("name"), normalise_name(F.col("name")).alias("key"), *([F.col("ecosystem").alias("wanted")] if "ecosystem" in packages.columns else [F.lit(None).cast("string").alias("wanted")]))
     c = cves.withColumn("key", normalise_name(F.col("package_name")))
     hit = p.join(c, "key").filter(F.col("wanted").isNull() | (F.col("ecosystem") == F.col("wanted")) | (F.col("ecosystem") == "unknown"))
-    return hit.drop("key", "wanted").orderBy("name", F.desc("cvss_score"), "cve_id")
+    return hit.drop("key", "wanted")
 
 
 def vulnerable_nodes(matches: DataFrame) -> DataFrame:
@@ -47,39 +47,22 @@ def vulnerable_nodes(matches: DataFrame) -> DataFrame:
     return ranked.select(P, "name", "cvss_score", F.array_distinct(F.col("c.id")).alias("cve_ids"), F.coalesce(F.element_at("c.id", 1), F.lit("UNKNOWN")).alias("primary_cve"))
 
 
-def bloom_prefilter(nodes: DataFrame, cves: DataFrame, fp_rate: float = 0.01, max_bits: int = 1 << 27) -> DataFrame:
-    """Nodes whose normalised name may be a vulnerable package: a Bloom filter as a semi-join.
+def known_packages(nodes: DataFrame, cves: DataFrame) -> DataFrame:
+    """The nodes whose normalised name is a vulnerable package: the prefilter before versions are compared.
 
-    No false negatives; false positives go when the matches are verified. The filter is
-    a set of bit positions, (k hashes of each distinct name modulo m); a node stays if
-    all of its positions are set. Where m would exceed ``max_bits`` the step is left out.
+    A plain semi-join; Spark places its own runtime filter in front of it.
     """
-    names = cves.select(normalise_name(F.col("package_name").cast("string")).alias("key")).distinct()
-    n = names.count()
-    if not n:
-        return nodes.limit(0)
-    m, k = bloom_params(n, fp_rate)
-    if m > max_bits:
-        return nodes
-    spots = lambda c: F.array(*[F.pmod(F.xxhash64(c, F.lit(i)), F.lit(m)) for i in range(k)])
-    bits = names.select(F.explode(spots(F.col("key"))).alias("bit")).distinct()
-    keys = nodes.select(normalise_name(F.col("name").cast("string")).alias("key")).distinct()
-    probes = keys.select("key", F.explode(F.array_distinct(spots(F.col("key")))).alias("bit"))
-    wanted = probes.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    passed = probes.join(bits, "bit").groupBy("key").agg(F.count(F.lit(1)).alias("hit")).join(wanted, "key").filter("hit = n").select("key")
-    return nodes.join(passed, normalise_name(nodes["name"].cast("string")) == passed["key"], "left_semi")
+    names = cves.select(normalise_name(F.col("package_name").cast("string")).alias("__key")).distinct()
+    return nodes.join(names, normalise_name(nodes["name"].cast("string")) == F.col("__key"), "left_semi")
 
 
 def bloom_stats(cves: DataFrame, fp_rate: float = 0.01) -> DataFrame:
-    """(n_items, n_bits, n_hashes, fill_ratio, fp_rate) of the filter over the distinct names."""
-    names = cves.select(normalise_name(F.col("package_name").cast("string")).alias("key")).distinct()
-    n = names.count()
-    m, k = bloom_params(max(1, n), fp_rate)
-    bits = names.select(F.explode(F.array(*[F.pmod(F.xxhash64("key", F.lit(i)), F.lit(m)) for i in range(k)])).alias("bit"))
-    return bits.agg(F.count_distinct("bit").alias("set")).select(
-        F.lit(n).alias("n_items"), F.lit(m).alias("n_bits"), F.lit(k).alias("n_hashes"), F.bround(F.col("set") / m, 4).alias("fill_ratio"),
-        F.bround(F.pow(1 - F.exp(F.lit(-k * n / m)), F.lit(k)), 6).alias("fp_rate"),
-    )
+    """One row (n_items, n_bits, n_hashes, fill_ratio, fp_rate): what a filter over the distinct names would need."""
+    names = cves.agg(F.count_distinct(normalise_name(F.col("package_name").cast("string"))).alias("n_items"))
+    n = F.greatest(F.lit(1), "n_items")
+    rows = names.withColumn("n_bits", bloom_bits(n, F.lit(fp_rate))).withColumn("n_hashes", bloom_hashes(n, F.col("n_bits")))
+    fill = 1 - F.exp(-F.col("n_hashes") * F.col("n_items") / F.col("n_bits"))
+    return rows.select("n_items", "n_bits", "n_hashes", F.bround(fill, 4).alias("fill_ratio"), F.bround(F.pow(fill, F.col("n_hashes")), 6).alias("fp_rate"))
 
 
 def dependency_diff(old: DataFrame, new: DataFrame) -> DataFrame:

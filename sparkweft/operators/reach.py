@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import MAX_PATH_NODES, MAX_PATHS, UNREACHABLE
 from ..functions.scores import exploit_score
-from ..session import cut
+from ..session import cut, if_small
 
 P = "project_id"
 
@@ -37,31 +37,53 @@ def reachable(edges: DataFrame, seeds: DataFrame, direction: str = "down", max_h
     return seen if seen is not None else seeds.select(P, "source", F.col("source").alias("node"), F.lit(0).alias("hops")).limit(0)
 
 
+def hops_to(edges: DataFrame, targets: DataFrame, most: int) -> DataFrame:
+    """(project_id, node, hops): the fewest steps, up to ``most``, from each node to any target (project_id, node); 0 for targets."""
+    frontier = cut(targets.select(P, "node").distinct().withColumn("hops", F.lit(0)))
+    seen, hops = frontier, 0
+    while hops < most and not frontier.isEmpty():
+        hops += 1
+        new = edges.join(frontier.select(P, F.col("node").alias("dst")), [P, "dst"]).select(P, F.col("src").alias("node")).distinct()
+        frontier = cut(new.join(seen, [P, "node"], "left_anti").withColumn("hops", F.lit(hops)))
+        seen = seen.unionByName(frontier)
+    return seen
+
+
 def attack_paths(edges: DataFrame, blast: DataFrame, sinks: DataFrame, max_nodes: int = MAX_PATH_NODES, top: int = MAX_PATHS, simple_paths: bool = False) -> DataFrame:
     """The best ``top`` walks from each vulnerable node to a sink.
 
     ``blast``: project_id, source_node, cvss_score, multiplier. ``sinks``: node, sink_type.
     A walk ends at its first sink and has at most ``max_nodes`` nodes; it may come by a
-    node again unless ``simple_paths``. Steps that can't reach a sink any more are never
-    taken. The score uses the source's multiplier; NETWORK if nothing leads to the
-    source, else LOCAL. Ties go by path. Returns project_id, source, path, sink_node,
-    sink_type, path_length (nodes), exploit_score, exploitability, rank.
+    node again unless ``simple_paths``. Steps from which no sink can be reached within
+    the nodes left are never taken. The score uses the source's multiplier; NETWORK if
+    nothing leads to the source, else LOCAL. Ties go by path. Returns project_id, source,
+    path, sink_node, sink_type, path_length (nodes), exploit_score, exploitability, rank.
+
+    For one source the score never rises with the length, so its best walks are the
+    first ones by (length, path), and two exact rules keep a round small. A source with
+    ``top`` finished walks is done. Of its open walks of one length that stand at one
+    node only the ``top`` smallest go on, as whatever follows can follow each of them
+    (not so with ``simple_paths``, where what can follow depends on the walk).
     """
-    sinks = F.broadcast(sinks.select(F.col("node").alias("dst"), "sink_type"))  # a table of fixed size, or of the sinks present
-    hot = edges.join(sinks, "dst").select(P, F.col("dst").alias("source")).distinct()
-    useful = reachable(edges, hot, "up", max_nodes - 1).select(P, F.col("node").alias("dst")).distinct()
-    useful = useful.unionByName(hot.select(P, F.col("source").alias("dst"))).distinct()
-    steps = cut(edges.join(useful, [P, "dst"], "left_semi").join(sinks, "dst", "left").select(P, F.col("src").alias("at"), "dst", "sink_type"))
+    kinds = if_small(sinks.select(F.col("node").alias("dst"), "sink_type"))
+    hot = edges.join(kinds, "dst").select(P, F.col("dst").alias("node"))
+    far = hops_to(edges, hot, max_nodes - 1).select(P, F.col("node").alias("dst"), "hops")
+    steps = cut(edges.join(far, [P, "dst"]).join(kinds, "dst", "left").select(P, F.col("src").alias("at"), "dst", "sink_type", "hops"))
     walk = blast.select(P, F.col("source_node").alias("source"), F.col("source_node").alias("at"), F.array("source_node").alias("path"))
     ended = None
-    for _ in range(max_nodes - 1):
-        nxt = walk.join(steps, [P, "at"])
+    for n in range(2, max_nodes + 1):
+        nxt = walk.join(steps, [P, "at"]).filter(F.col("hops") <= max_nodes - n)
         if simple_paths:
             nxt = nxt.filter(~F.array_contains("path", F.col("dst")))
-        nxt = cut(nxt.select(P, "source", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"), "sink_type"))
+        nxt = nxt.select(P, "source", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"), "sink_type")
+        if not simple_paths:
+            smallest = Window.partitionBy(P, "source", "at").orderBy("path")
+            nxt = nxt.withColumn("__n", F.row_number().over(smallest)).filter(F.col("__n") <= top).drop("__n")
+        nxt = cut(nxt)
         done = nxt.filter("sink_type IS NOT NULL")
         ended = done if ended is None else ended.unionByName(done)
-        walk = nxt.filter("sink_type IS NULL").drop("sink_type")
+        full = ended.groupBy(P, "source").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= top).select(P, "source")
+        walk = cut(nxt.filter("sink_type IS NULL").drop("sink_type").join(full, [P, "source"], "left_anti"))
         if walk.isEmpty():
             break
     entered = edges.select(P, F.col("dst").alias("source")).distinct().withColumn("entered", F.lit(True))

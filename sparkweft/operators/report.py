@@ -42,19 +42,26 @@ def ci_gate(summary: DataFrame, threshold: str = "HIGH") -> DataFrame:
 
 
 def fallback_recommendations(blast: DataFrame, ecosystems: DataFrame, paths: DataFrame | None = None) -> DataFrame:
-    """Patch advice for each blast row, from its figures alone."""
+    """Patch advice for each blast row, from its figures alone.
+
+    ``recommended_version`` is always the newest one. The explanation says what was
+    found, then how far it spreads; the summary is the best attack path, if there is one.
+    """
     rows = blast.join(ecosystems.select(P, "ecosystem"), P, "left")
+    best = F.lit(None).cast("array<string>") if paths is None else F.col("__best")
     if paths is not None:
-        rows = rows.join(paths.filter("rank = 1").select(P, F.col("source").alias("source_node"), F.array_join("path", " -> ").alias("best")), [P, "source_node"], "left")
-    else:
-        rows = rows.withColumn("best", F.lit(None).cast("string"))
-    name = F.col("source_node").cast("string")
-    sinks = F.when(F.size("sink_types") > 0, F.concat(F.array_join("sink_types", " and "), F.lit(" sinks"))).otherwise("application code")
+        first = paths.filter("rank = 1").select(P, F.col("source").alias("source_node"), F.col("path").cast("array<string>").alias("__best"))
+        rows = rows.join(first, [P, "source_node"], "left")
+    name, n = F.col("source_node").cast("string"), F.col("reachable_count")
+    found = F.format_string("%s has a score of %.1f in %s.", F.col("cve_id"), F.col("cvss_score"), name)
+    spread = F.when(n == 0, F.lit("No other package can be reached from it.")).otherwise(F.format_string("From it %d packages can be reached.", n))
+    kinds = F.when(F.size("sink_types") > 0, F.concat(F.lit(" Sensitive access: "), F.array_join(F.array_sort("sink_types"), ", "), F.lit("."))).otherwise("")
     return rows.select(
         P, F.col("source_node").alias("package_name"), F.array("cve_id").alias("cve_ids"), "cvss_score", F.lit("latest").alias("recommended_version"),
-        F.format_string("%s (%s, CVSS %.1f) reaches %d packages, among them %s.", name, F.col("cve_id"), F.col("cvss_score"), F.col("reachable_count"), sinks).alias("threat_explanation"),
-        F.lit("Read the changelog before the rollout.").alias("breaking_changes"), upgrade_command(F.col("ecosystem"), name).alias("upgrade_command"),
-        confidence(F.col("cvss_score")).alias("confidence"), F.coalesce("best", F.format_string("From %s to %s.", name, sinks)).alias("attack_path_summary"), "blast_radius_score",
+        F.concat(found, F.lit(" "), spread, kinds).alias("threat_explanation"),
+        F.lit("Not known: a newest release can change its interface.").alias("breaking_changes"), upgrade_command(F.col("ecosystem"), name).alias("upgrade_command"),
+        confidence(F.col("cvss_score")).alias("confidence"),
+        F.coalesce(F.concat(F.lit("path: "), F.array_join(best, " > ")), F.lit("no path to a sensitive package")).alias("attack_path_summary"), "blast_radius_score",
     )
 
 
@@ -104,5 +111,5 @@ def write_report(report: DataFrame, path: str, fmt: str = "json") -> None:
 
 
 def scan_status(cves: DataFrame, bloom: DataFrame) -> DataFrame:
-    """One row: vulnerabilities stored, filter items, estimated false-positive rate."""
+    """One row: vulnerabilities stored, distinct package names, the size and false-positive rate of a filter over them."""
     return cves.agg(F.count(F.lit(1)).alias("cve_rows"), F.count_distinct("cve_id").alias("cves")).crossJoin(bloom.select("n_items", "fp_rate"))

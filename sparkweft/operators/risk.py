@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import CLUSTER_HIGH, CLUSTER_LOW, CLUSTER_MEDIUM, CVSS_CRITICAL, CVSS_HIGH, LEVELS
 from ..functions.scores import blast_score, sensitivity, sensitivity_multiplier, topo_risk
+from ..session import if_small
 from .reach import reachable
 
 P = "project_id"
@@ -22,7 +23,7 @@ def blast_radius(edges: DataFrame, vuln: DataFrame, sinks: DataFrame, closure: D
     """
     v = vuln.filter("cvss_score > 0").select(P, F.col("name").alias("source_node"), "cvss_score", F.col("primary_cve").alias("cve_id"))
     reach = reachable(edges, v.select(P, F.col("source_node").alias("source")), direction) if closure is None else closure
-    types = F.broadcast(sinks.select("node", "sink_type"))
+    types = if_small(sinks.select("node", "sink_type"))
     met = reach.join(types, "node", "left").groupBy(P, F.col("source").alias("source_node")).agg(
         F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.when(F.col("sink_type").isNotNull(), F.struct("node", "sink_type")))).alias("s")
     )

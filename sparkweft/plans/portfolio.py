@@ -17,8 +17,8 @@ P = "project_id"
 class Portfolio:
     """All stages of the scan: graph, matches, clusters, blast radii, paths, patch sets, reports."""
 
-    def __init__(self, nodes: DataFrame, edges: DataFrame, cves: DataFrame, sinks: DataFrame, max_hops: int | None = None) -> None:
-        self.raw_nodes, self.raw_edges, self.cves, self.sinks, self.max_hops = nodes, edges, cves, sinks, max_hops
+    def __init__(self, nodes: DataFrame, edges: DataFrame, cves: DataFrame, sinks: DataFrame, max_hops: int | None = None, curated: DataFrame | None = None) -> None:
+        self.raw_nodes, self.raw_edges, self.cves, self.sinks, self.max_hops, self.curated = nodes, edges, cves, sinks, max_hops, curated
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str, max_hops: int | None = None) -> Portfolio:
@@ -81,7 +81,7 @@ class Portfolio:
     @cached_property
     def advice(self) -> DataFrame:
         fallback = report.fallback_recommendations(self.blast, self.ecosystems, self.paths)
-        return report.merge_recommendations(fallback.limit(0), fallback)
+        return report.merge_recommendations(fallback.limit(0) if self.curated is None else self.curated, fallback)
 
     def report(self) -> DataFrame:
         counts = report.severity_counts(self.nodes, self.vuln)

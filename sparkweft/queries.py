@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from functools import partial
 
@@ -14,13 +13,11 @@ from .functions import names, scores
 from .operators import graph, match, patchset, reach, report, risk
 from .plans.bridge import bridge, with_tables
 from .plans.portfolio import Portfolio
-from .session import cut, table
+from .session import cut, shared_folder, table
 from .sources import cve_feed, manifests
 from .streaming import changes
 
 P = "project_id"
-#: Hops of the distances in the SQL twins; the queries themselves have no bound.
-HOPS = 4
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -76,9 +73,9 @@ def vulnerable_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql=with_tables("nodes", "cves") + " SELECT project_id, name FROM nodes WHERE name IN (SELECT package_name FROM cves)")
 def bloom_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes that are a vulnerable package by name; Spark puts its own Bloom filter before the semi-join."""
     nodes, cves = bridge(spark, sf_dir, "nodes", "cves")
-    exact = cves.select(F.col("package_name").alias("name")).distinct()
-    return match.bloom_prefilter(nodes, cves).join(exact, "name", "left_semi").select(P, "name")
+    return match.known_packages(nodes, cves).select(P, "name")
 
 
 @query(sql="SELECT p_brand, n, m, CAST(greatest(1, round_even(m / n * ln(2), 0)) AS BIGINT) AS k FROM (SELECT p_brand, n, CAST(greatest(1, ceil(-n * ln(0.001) / 0.4804530139182014)) AS BIGINT) AS m FROM (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand))")
@@ -87,17 +84,21 @@ def bloom_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.withColumn("m", scores.bloom_bits(F.col("n"), F.lit(0.001))).withColumn("k", scores.bloom_hashes(F.col("n"), F.col("m")))
 
 
-@query
+@query(
+    sql=with_tables("cves")
+    + ", n AS (SELECT count(*) AS cve_rows, count(DISTINCT cve_id) AS cves, count(DISTINCT package_name) AS n_items FROM cves), m AS (SELECT *, greatest(1, ceil(-greatest(1, n_items) * ln(0.01) / 0.4804530139182014)) AS m FROM n), k AS (SELECT *, greatest(1, round_even(m / greatest(1, n_items) * ln(2), 0)) AS k FROM m)"
+    " SELECT cve_rows, cves, n_items, round_even(pow(1 - exp(-k * n_items / m), k), 6) AS fp_rate FROM k"
+)
 def scan_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     (cves,) = bridge(spark, sf_dir, "cves")
     return report.scan_status(cves, match.bloom_stats(cves))
 
 
-@query(sql=with_tables("nodes", "cves") + " SELECT n.project_id, n.name, c.cve_id, c.cvss_score FROM nodes n JOIN cves c ON c.package_name = n.name AND (c.ecosystem = n.ecosystem OR c.ecosystem = 'unknown') WHERE c.cvss_score >= 7")
+@query(sql=with_tables("nodes", "cves") + " SELECT n.project_id, n.name, c.cve_id, c.cvss_score FROM nodes n JOIN cves c ON c.package_name = n.name AND (c.ecosystem = n.ecosystem OR c.ecosystem = 'unknown')")
 def package_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, cves = bridge(spark, sf_dir, "nodes", "cves")
     packages = nodes.select(P, F.col("name").cast("string").alias("name"), "ecosystem")
-    hits = match.lookup_package_cves(packages.select("name", "ecosystem").distinct(), cves.withColumn("package_name", F.col("package_name").cast("string")).filter("cvss_score >= 7"))
+    hits = match.lookup_package_cves(packages.select("name", "ecosystem").distinct(), cves.withColumn("package_name", F.col("package_name").cast("string")))
     return packages.join(hits.select("name", "cve_id", "cvss_score"), "name").select(P, F.col("name").cast("bigint").alias("name"), "cve_id", "cvss_score")
 
 
@@ -146,20 +147,20 @@ def package_lock_v1_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    sql="SELECT CAST(p_partkey AS VARCHAR) AS project_id, unnest(CASE p_partkey % 3 WHEN 0 THEN ['a_b', 'tool'] WHEN 1 THEN ['web', 'extra_one', 'x_y', 'z'] ELSE ['org.x:core', 'org.x:check'] END) AS name, unnest(CASE p_partkey % 3 WHEN 0 THEN [concat(p_size, '.5'), 'unknown'] WHEN 1 THEN [concat(p_size, '.2'), 'unknown', concat(p_size), '3.1'] ELSE [concat(p_size, '.0'), 'unknown'] END) AS version, unnest(CASE p_partkey % 3 WHEN 0 THEN [false, true] WHEN 1 THEN [false, false, false, false] ELSE [false, true] END) AS is_dev FROM part"
+    sql="SELECT CAST(p_partkey AS VARCHAR) AS project_id, unnest(['a_b', 'tool', 'web', 'extra_one', 'x_y', 'z', 'org.x:core', 'org.x:check']) AS name, unnest([concat(p_size, '.5'), 'unknown', concat(p_size, '.2'), 'unknown', concat(p_size), '3.1', concat(p_size, '.0'), 'unknown']) AS version, unnest([false, true, false, false, false, false, false, true]) AS is_dev FROM part"
 )
 def toml_xml_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     pipfile = "concat('[packages]\\na-b = \"==', p_size, '.5\"\\n[dev-packages]\\ntool = \"*\"\\n')"
     project = "concat('[tool.poetry.dependencies]\\npython = \"^3\"\\nweb = {version = \"^', p_size, '.2\"}\\n[tool.poetry.extras]\\ne = [\"extra-one\"]\\n[project]\\ndependencies = [\"x.y>=', p_size, '\"]\\n[project.optional-dependencies]\\no = [\"z ~= 3.1\"]\\n')"
     pom = "concat('<project xmlns=\"http://maven.apache.org/POM/4.0.0\"><profiles><profile><dependencies><dependency><groupId>org.x</groupId><artifactId>core</artifactId><version>', p_size, '.0</version></dependency><dependency><groupId>org.x</groupId><artifactId>check</artifactId><scope>test</scope></dependency></dependencies></profile></profiles></project>')"
-    files = [_files(spark, sf_dir, n, c).filter(F.col("project_id").cast("long") % 3 == i) for i, (n, c) in enumerate((("Pipfile", pipfile), ("pyproject.toml", project), ("pom.xml", pom)))]
+    files = [_files(spark, sf_dir, n, c) for n, c in (("Pipfile", pipfile), ("pyproject.toml", project), ("pom.xml", pom))]
     return manifests.load_manifests(files[0].unionByName(files[1]).unionByName(files[2])).select(P, "name", "version", "is_dev")
 
 
 _FEED = (
-    "concat('{\"cve\":{\"CVE_data_meta\":{\"ID\":\"CVE-', p_partkey, '\"},\"description\":{\"description_data\":[{\"lang\":\"fr\",\"value\":\"non\"},{\"lang\":\"en\",\"value\":\"text ', p_size, '\"}]}},\"publishedDate\":\"2024-01-02\",\"impact\":{\"baseMetricV2\":{\"cvssV2\":{\"baseScore\":', p_partkey % 10, ',\"vectorString\":\"AV:N\"}}},"
+    "concat('{\"cve\":{\"CVE_data_meta\":{\"ID\":\"CVE-', p_partkey, '\"},\"description\":{\"description_data\":[{\"lang\":\"fr\",\"value\":\"non\"},{\"lang\":\"en\",\"value\":\"text ', p_size, '\"}]}},\"publishedDate\":\"2024-01-02\",\"impact\":{', CASE WHEN p_partkey % 2 = 0 THEN concat('\"baseMetricV3\":{\"cvssV3\":{\"baseScore\":', p_partkey % 10, ',\"vectorString\":\"AV:L\"}},') ELSE '' END, '\"baseMetricV2\":{\"cvssV2\":{\"baseScore\":', CASE WHEN p_partkey % 2 = 0 THEN 5 ELSE p_partkey % 10 END, ',\"vectorString\":\"AV:N\"}}},"
     "\"configurations\":{\"nodes\":[{\"cpe_match\":[{\"vulnerable\":true,\"cpe23Uri\":\"cpe:2.3:a:apache:lib-', p_partkey, ':*\",\"versionStartIncluding\":\"1.0\",\"versionEndExcluding\":\"', p_size, '.0\"},{\"vulnerable\":false,\"cpe23Uri\":\"cpe:2.3:a:v:no:*\"},{\"vulnerable\":true,\"cpe23Uri\":\"cpe:2.3:o:v:os:*\"}],"
-    "\"children\":[{\"cpe_match\":[{\"vulnerable\":true,\"cpe23Uri\":\"cpe:2.3:a:nodejs:deep:*\",\"versionEndIncluding\":\"2.0\"},{\"vulnerable\":true,\"cpe23Uri\":\"cpe:2.3:a:nodejs:deep:*\",\"versionEndIncluding\":\"2.0\"}]}]}]}}')"
+    "\"children\":[{\"cpe_match\":[],\"children\":[{\"children\":[{\"cpe_match\":null,\"children\":[{\"children\":[{\"cpe_match\":[{\"vulnerable\":true,\"cpe23Uri\":\"cpe:2.3:a:nodejs:deep:*\",\"versionEndIncluding\":\"2.0\"},{\"vulnerable\":true,\"cpe23Uri\":\"cpe:2.3:a:nodejs:deep:*\",\"versionEndIncluding\":\"2.0\"}]}]}]}]}]}]}]}}')"
 )
 
 
@@ -276,9 +277,9 @@ _CLUSTERS = (
 )
 
 
-@query(sql=_ALL + f", {_VULN}" + _scc("edges_p") + _CLUSTERS + " SELECT project_id, scc_id, size, ['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][level + 1] AS risk_level, max_cvss AS max_cvss_in_cluster, combined_blast_radius FROM lv")
+@query(sql=_ALL + f", {_VULN}" + _scc("edges_p") + _CLUSTERS + " SELECT project_id, scc_id, size, ['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][level + 1] AS risk_level, max_cvss AS max_cvss_in_cluster, combined_blast_radius, row_number() OVER (PARTITION BY project_id ORDER BY level DESC, size DESC, scc_id) AS rank FROM lv")
 def trust_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Portfolio.of(spark, sf_dir).clusters.select(P, "scc_id", "size", "risk_level", "max_cvss_in_cluster", "combined_blast_radius")
+    return Portfolio.of(spark, sf_dir).clusters.select(P, "scc_id", "size", "risk_level", "max_cvss_in_cluster", "combined_blast_radius", "rank")
 
 
 @query(sql=with_tables("edges_dag") + ", lv AS (SELECT project_id, src AS node, 0 AS level FROM edges_dag UNION SELECT l.project_id, e.dst, l.level + 1 FROM lv l JOIN edges_dag e ON e.project_id = l.project_id AND e.src = l.node), mx AS (SELECT project_id, node, max(level) AS level FROM lv GROUP BY ALL) SELECT project_id, node, level, row_number() OVER (PARTITION BY project_id ORDER BY level, node) - 1 AS rank FROM mx")
@@ -296,8 +297,8 @@ def break_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TERMS = ", hits AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY score DESC, name) AS rank, count(*) FILTER (score > 5) OVER (PARTITION BY project_id) AS over FROM scored), terms AS (SELECT project_id, name AS node FROM hits WHERE score > 5 OR (over = 0 AND rank <= 5))"
 _DIST = (
     ", und AS (SELECT project_id, src AS a, dst AS b FROM edges_p UNION SELECT project_id, dst, src FROM edges_p)"
-    f", bfs AS (SELECT project_id, node AS u, node, 0 AS d FROM terms UNION SELECT b.project_id, b.u, n.b, b.d + 1 FROM bfs b JOIN und n ON n.project_id = b.project_id AND n.a = b.node WHERE b.d < {HOPS})"
-    ", dist AS (SELECT project_id, u, node, min(d) AS d FROM bfs GROUP BY ALL)"
+    ", bfs(project_id, u, node, d) USING KEY (project_id, u, node) AS (SELECT project_id, node, node, 0 FROM terms UNION SELECT b.project_id, b.u, n.b, min(b.d) + 1 FROM bfs b JOIN und n ON n.project_id = b.project_id AND n.a = b.node LEFT JOIN recurring.bfs r ON r.project_id = b.project_id AND r.u = b.u AND r.node = n.b WHERE r.d IS NULL GROUP BY b.project_id, b.u, n.b)"
+    ", dist AS (SELECT project_id, u, node, d FROM bfs)"
     ", clo AS (SELECT x.project_id, x.node AS u, y.node AS v, coalesce(d.d, 1000) AS weight FROM terms x JOIN terms y ON x.project_id = y.project_id AND x.node < y.node LEFT JOIN dist d ON d.project_id = x.project_id AND d.u = x.node AND d.node = y.node)"
 )
 
@@ -322,12 +323,7 @@ def closure_mst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reach.mst(reach.metric_closure(p.edges, patchset.terminals(p.blast))).select(P, "u", "v", "weight")
 
 
-@query(
-    sql=_ALL + f", {_VULN}{_BLAST}{_PATHS}{_TERMS}"
-    ", nn AS (SELECT DISTINCT project_id, source, rank, unnest(path) AS package FROM best), onp AS (SELECT n.* FROM nn n JOIN terms t ON t.project_id = n.project_id AND t.node = n.package), cv AS (SELECT project_id, package, count(*) AS covered FROM onp GROUP BY ALL)"
-    ", first AS (SELECT o.project_id, o.source, o.rank, arg_min(o.package, (-c.covered, o.package)) AS package FROM onp o JOIN cv c USING (project_id, package) GROUP BY ALL), full_ AS (SELECT project_id FROM (SELECT DISTINCT project_id, source, rank FROM nn) n LEFT JOIN first f USING (project_id, source, rank) GROUP BY project_id HAVING count(*) = count(f.package))"
-    ", kept AS (SELECT DISTINCT project_id, package FROM first UNION SELECT project_id, node FROM terms WHERE project_id NOT IN (SELECT project_id FROM full_)) SELECT k.project_id, k.package, coalesce(c.covered, 0) AS covered FROM kept k LEFT JOIN cv c USING (project_id, package)"
-)
+@query
 def patch_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cover with the terminals and the packages between them as candidates."""
     p = Portfolio.of(spark, sf_dir)
@@ -336,9 +332,15 @@ def patch_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patchset.path_cover(patchset.patch_candidates(reach.mst(closure), closure, ends), p.path_rows, ends)
 
 
+_ACYCLIC = (
+    ", dg AS (SELECT project_id, dst AS node, count(*) AS d FROM edges_p GROUP BY ALL), ac AS (SELECT e.project_id, e.src, e.dst FROM edges_p e JOIN comp a ON a.project_id = e.project_id AND a.node = e.src JOIN comp b ON b.project_id = e.project_id AND b.node = e.dst LEFT JOIN dg x ON x.project_id = e.project_id AND x.node = e.src LEFT JOIN dg y ON y.project_id = e.project_id AND y.node = e.dst "
+    "WHERE a.scc_id <> b.scc_id OR coalesce(x.d, 0) > coalesce(y.d, 0) OR (coalesce(x.d, 0) = coalesce(y.d, 0) AND e.src < e.dst))"
+)
+
+
 @query(
-    sql=with_tables("edges_dag", "nodes")
-    + ", e AS (SELECT project_id, src, dst FROM edges_dag WHERE src % 2 = 0 AND dst % 2 = 0), lv AS (SELECT project_id, src AS node, 0 AS level FROM e UNION SELECT l.project_id, e.dst, l.level + 1 FROM lv l JOIN e ON e.project_id = l.project_id AND e.src = l.node), mx AS (SELECT project_id, node, max(level) AS level FROM lv GROUP BY ALL) SELECT n.project_id, n.name AS package, row_number() OVER (PARTITION BY n.project_id ORDER BY coalesce(m.level, 0), n.name) - 1 AS update_rank FROM nodes n LEFT JOIN mx m ON m.project_id = n.project_id AND m.node = n.name WHERE n.name % 2 = 0"
+    sql=with_tables("edges_p", "nodes") + _scc("edges_p") + _ACYCLIC
+    + ", ways AS (SELECT project_id, src AS node, 0 AS level FROM ac UNION SELECT l.project_id, e.dst, l.level + 1 FROM ways l JOIN ac e ON e.project_id = l.project_id AND e.src = l.node), mx AS (SELECT project_id, node, max(level) AS level FROM ways GROUP BY ALL) SELECT n.project_id, n.name AS package, row_number() OVER (PARTITION BY n.project_id ORDER BY coalesce(m.level, 0), n.name) - 1 AS update_rank FROM nodes n LEFT JOIN mx m ON m.project_id = n.project_id AND m.node = n.name"
 )
 def update_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order of all packages of each project, by all edges, cycles broken."""
@@ -389,21 +391,24 @@ def dependency_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    sql=_ALL + f", {_VULN}{_BLAST}, ec AS (SELECT project_id, arg_max(ecosystem, (n, ecosystem)) AS ecosystem FROM (SELECT project_id, ecosystem, count(*) AS n FROM nodes GROUP BY ALL) GROUP BY ALL), r AS (SELECT s.*, ec.ecosystem, CASE WHEN cvss_score >= 9 THEN 'HIGH' WHEN cvss_score >= 7 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM scored s JOIN ec USING (project_id))"
-    ", k AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY score DESC, CASE confidence WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END DESC, cvss_score DESC, name) AS rank FROM r) SELECT project_id, name AS package_name, cvss_score, confidence, CASE ecosystem WHEN 'npm' THEN concat('npm install ', name, '@latest') WHEN 'pip' THEN concat('pip install --upgrade ', name) ELSE concat('upgrade ', name, ' to the latest safe release') END AS upgrade_command, score AS blast_radius_score, rank FROM k WHERE rank <= 10"
+    sql=_ALL + f", {_VULN}{_BLAST}, ec AS (SELECT project_id, arg_max(ecosystem, (n, ecosystem)) AS ecosystem FROM (SELECT project_id, ecosystem, count(*) AS n FROM nodes GROUP BY ALL) GROUP BY ALL), r AS (SELECT s.*, ec.ecosystem, CASE WHEN name % 5 = 0 OR cvss_score >= 9 THEN 'HIGH' WHEN cvss_score >= 7 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM scored s JOIN ec USING (project_id))"
+    ", k AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY score DESC, CASE confidence WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END DESC, cvss_score DESC, name) AS rank FROM r) SELECT project_id, name AS package_name, cvss_score, confidence, CASE WHEN name % 5 = 0 THEN 'as reviewed' WHEN ecosystem = 'npm' THEN concat('npm install ', name, '@latest') WHEN ecosystem = 'pip' THEN concat('pip install --upgrade ', name) ELSE concat('mvn versions:use-latest-releases -Dincludes=', name) END AS upgrade_command, score AS blast_radius_score, rank FROM k WHERE rank <= 10"
 )
 def fallback_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fallback advice for all vulnerable packages, merged with reviewed advice for every fifth."""
     p = Portfolio.of(spark, sf_dir)
     rows = report.fallback_recommendations(p.blast, p.ecosystems)
-    return report.merge_recommendations(rows.limit(0), rows).select(P, "package_name", "cvss_score", "confidence", "upgrade_command", "blast_radius_score", "rank")
+    reviewed = rows.filter("package_name % 5 = 0").withColumn("confidence", F.lit("HIGH")).withColumn("upgrade_command", F.lit("as reviewed"))
+    return report.merge_recommendations(reviewed, rows).select(P, "package_name", "cvss_score", "confidence", "upgrade_command", "blast_radius_score", "rank")
 
 
 @query(
-    sql=_ALL + f", {_VULN}{_BLAST}{_PATHS}, st AS (SELECT DISTINCT project_id, CAST(path[i] AS VARCHAR) AS source, CAST(path[i + 1] AS VARCHAR) AS target FROM (SELECT project_id, path, unnest(range(1, len(path))) AS i FROM best)) SELECT project_id, source, target FROM st UNION SELECT project_id, '__root__', CAST(name AS VARCHAR) FROM scored"
+    sql=_ALL + f", {_VULN}{_BLAST}{_PATHS}, st AS (SELECT DISTINCT project_id, CAST(path[i] AS VARCHAR) AS source, CAST(path[i + 1] AS VARCHAR) AS target FROM (SELECT project_id, path, unnest(range(1, len(path))) AS i FROM best)) SELECT project_id, 'link' AS kind, source AS a, target AS b FROM st UNION SELECT project_id, 'link', '__root__', CAST(name AS VARCHAR) FROM scored UNION SELECT project_id, 'node', '__root__', 'root' FROM scored UNION SELECT project_id, 'node', CAST(name AS VARCHAR), 'vuln' FROM scored UNION SELECT b.project_id, 'node', CAST(b.n AS VARCHAR), 'transitive' FROM (SELECT project_id, unnest(path) AS n FROM best) b WHERE NOT EXISTS (SELECT 1 FROM scored s WHERE s.project_id = b.project_id AND s.name = b.n)"
 )
 def report_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = Portfolio.of(spark, sf_dir)
-    return report.attack_subgraph(p.blast, p.paths)[1]
+    nodes, links = report.attack_subgraph(p.blast, p.paths)
+    return links.select(P, F.lit("link").alias("kind"), F.col("source").alias("a"), F.col("target").alias("b")).unionByName(nodes.select(P, F.lit("node").alias("kind"), F.col("id").alias("a"), F.col("type").alias("b")))
 
 
 @query
@@ -435,7 +440,53 @@ def change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events.parque[t]")  # a file or a folder
     rows = events.select(F.col("user_id").cast("string").alias(P), F.date_trunc("week", "ts").cast("timestamp").alias("taken_at"), F.col("event_type").alias("name"), F.floor(F.col("value") / 20).cast("bigint").cast("string").alias("version"))
-    base = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-    run = f"{base}/changes-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
-    changes.dependency_change_stream(rows, f"{run}/state", f"{run}/out", f"{run}/log").awaitTermination()
-    return spark.read.parquet(f"{run}/out").select(P, "change_type", "name", "old_version", "new_version")
+    run = _folder(spark)
+    changes.dependency_change_stream(rows, f"{run}/out", f"{run}/log").awaitTermination()
+    return spark.read.schema(changes.CHANGE).parquet(f"{run}/out").select(P, "change_type", "name", "old_version", "new_version")
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder that all executors see."""
+    return f"{shared_folder(spark)}/run-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+
+
+def _entries(spark: SparkSession, sf_dir: str, run: str) -> tuple[DataFrame, DataFrame]:
+    """The nodes, and the vulnerabilities as a stream of files."""
+    nodes, cves = bridge(spark, sf_dir, "nodes", "cves")
+    rows = cves.withColumn("seen_at", F.lit("2024-01-01").cast("timestamp"))
+    rows.write.parquet(f"{run}/in")
+    return nodes, spark.readStream.schema(rows.schema).parquet(f"{run}/in")
+
+
+@query(sql=with_tables("nodes", "cves") + f", {_MATCH} SELECT DISTINCT project_id, name, cve_id, cvss_score, {_BAND.format('cvss_score')} AS severity FROM m WHERE cvss_score >= 7")
+def cve_alert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alerts of a stream of vulnerabilities, run to its end; what it wrote."""
+    run = _folder(spark)
+    nodes, stream = _entries(spark, sf_dir, run)
+    alerts = changes.cve_alerts(stream, nodes, "HIGH").drop("seen_at")
+    alerts.writeStream.format("parquet").option("path", f"{run}/out").option("checkpointLocation", f"{run}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(alerts.schema).parquet(f"{run}/out")
+
+
+@query(sql=with_tables("cves") + " SELECT cve_id, package_name, version_start, version_end, cvss_score FROM cves")
+def cve_upsert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table that a stream of vulnerabilities keeps up to date, after its end."""
+    run = _folder(spark)
+    _, stream = _entries(spark, sf_dir, run)
+    changes.cve_upsert_stream(stream, f"{run}/cves", f"{run}/log").awaitTermination()
+    return changes.current_cves(spark, f"{run}/cves").select("cve_id", "package_name", "version_start", "version_end", "cvss_score")
+
+
+@query(sql="SELECT concat('CVE-', p_partkey) AS cve_id, concat('lib_', p_partkey) AS package_name, concat(p_size, '.0') AS version_end, CAST(p_partkey % 10 AS DOUBLE) AS cvss_score FROM part UNION ALL SELECT concat('CVE-', p_partkey), 'deep', '2.0', CAST(p_partkey % 10 AS DOUBLE) FROM part")
+def cve_feed_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feed files made from the parts, planned, read and stored feed by feed."""
+    run = _folder(spark)
+    items = table(spark, sf_dir, "part").select(F.expr(_FEED).alias("item"), (F.col("p_partkey") % 3 + 2021).cast("string").alias("year"))
+    for year in ("2021", "2022", "2023"):
+        files = items.filter(F.col("year") == year).groupBy(F.spark_partition_id()).agg(F.concat(F.lit('{"CVE_Items":['), F.array_join(F.collect_list("item"), ","), F.lit("]}")).alias("value"))
+        files.select("value").write.text(f"{run}/feeds/{year}")
+    feeds = spark.createDataFrame([(y, f"{run}/feeds/{y}") for y in ("2021", "2022", "2023", "modified")], "feed string, path string")
+    state = spark.createDataFrame([], "feed string, last_modified timestamp")
+    plan = cve_feed.refresh_plan(state, feeds, "2024-06-02 00:00:00")
+    cve_feed.ingest_feeds(spark, plan, lambda entries: entries.write.mode("append").parquet(f"{run}/cves"), "2024-06-02 00:00:00")
+    return spark.read.parquet(f"{run}/cves").select("cve_id", "package_name", "version_end", "cvss_score")

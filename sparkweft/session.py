@@ -5,19 +5,40 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Rows up to which a counted side is broadcast (tens of bytes each).
+SMALL = 200_000
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder of ``spark.checkpoint.dir``.
 
-    Iterations call this once a round, so that plans stay small and a lost executor
-    costs one round. Only where no folder is set (tests) a temporary one is made.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of ``spark.checkpoint.dir``, which the driver and all executors share.
+
+    Only a session of one process (``local[...]``, as in tests) gets a temporary folder
+    where none is set; on a cluster that is an error, as the folder would be one machine's.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder.
+
+    Iterations call this once a round, so that plans stay small and a lost executor
+    costs one round.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def if_small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """The table, broadcast in joins if it has at most ``most`` rows; a larger one is shuffled."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

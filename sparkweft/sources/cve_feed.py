@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import ECOSYSTEM_HINTS
 from ..functions.names import guess_ecosystem, normalise_name
+from ..session import cut
 
-_MATCH = "cpe_match array<struct<vulnerable:boolean,cpe23Uri:string,versionStartIncluding:string,versionStartExcluding:string,versionEndIncluding:string,versionEndExcluding:string>>"
-_DEPTH = 3
-
-
-def _node(depth: int) -> str:
-    match = _MATCH.replace(" ", ":", 1)
-    return f"struct<{match}>" if not depth else f"struct<{match},children:array<{_node(depth - 1)}>>"
-
+#: A configuration node; what it has below stays text until it is read, so there is no bound on the depth.
+_NODES = (
+    "array<struct<cpe_match:array<struct<vulnerable:boolean,cpe23Uri:string,versionStartIncluding:string,versionStartExcluding:string,versionEndIncluding:string,versionEndExcluding:string>>,"
+    "children:string>>"
+)
 
 ITEM = (
     "cve struct<CVE_data_meta:struct<ID:string>,description:struct<description_data:array<struct<lang:string,value:string>>>>, publishedDate string, "
     "impact struct<baseMetricV3:struct<cvssV3:struct<baseScore:double,vectorString:string>>,baseMetricV2:struct<cvssV2:struct<baseScore:double,vectorString:string>>>, "
-    f"configurations struct<nodes:array<{_node(_DEPTH)}>>"
+    f"configurations struct<nodes:{_NODES}>"
 )
 
 
@@ -30,14 +30,17 @@ def read_cve_feed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"CVE_Items array<struct<{fields}>>").option("multiLine", True).json(path).select(F.explode("CVE_Items").alias("i")).select("i.*")
 
 
-def all_matches() -> list[Column]:
-    """CPE matches of all configuration nodes and their children, three levels down."""
-    level, out = F.col("configurations.nodes"), []
-    for depth in range(_DEPTH + 1):
-        out.append(F.flatten(F.filter(F.transform(level, lambda n: n["cpe_match"]), lambda x: x.isNotNull())))
-        if depth < _DEPTH:
-            level = F.flatten(F.filter(F.transform(level, lambda n: n["children"]), lambda x: x.isNotNull()))
-    return out
+def with_matches(rows: DataFrame) -> DataFrame:
+    """Each row of ``rows`` (with a column ``nodes``) once per CPE match ``m`` of its nodes, however deep, a level a round."""
+    level = rows.withColumn("n", F.explode("nodes")).drop("nodes")
+    out = None
+    while True:
+        own = level.withColumn("m", F.explode("n.cpe_match")).drop("n")
+        out = own if out is None else out.unionByName(own)
+        inner = level.filter("n.children IS NOT NULL").withColumn("n", F.explode(F.from_json("n.children", _NODES)))
+        level = cut(inner)
+        if level.isEmpty():
+            return out
 
 
 def flatten_cve_items(items: DataFrame) -> DataFrame:
@@ -53,9 +56,9 @@ def flatten_cve_items(items: DataFrame) -> DataFrame:
         F.coalesce(F.when(v3.isNotNull(), F.coalesce(v3["baseScore"], F.lit(0.0))), F.when(v2.isNotNull(), v2["baseScore"]), F.lit(0.0)).alias("cvss_score"),
         F.coalesce(F.when(v3.isNotNull(), F.coalesce(v3["vectorString"], F.lit(""))), v2["vectorString"], F.lit("")).alias("cvss_vector"),
         F.coalesce(F.left(english, F.lit(2000)), F.lit("")).alias("description"), F.coalesce("publishedDate", F.lit("")).alias("published_date"),
-        F.explode(F.concat(*[F.coalesce(m, F.array()) for m in all_matches()])).alias("m"),
+        F.col("configurations.nodes").alias("nodes"),
     )
-    parts = base.filter("m.vulnerable").withColumn("p", F.split("m.cpe23Uri", ":"))
+    parts = with_matches(base).filter("m.vulnerable").withColumn("p", F.split("m.cpe23Uri", ":"))
     apps = parts.filter((F.size("p") >= 5) & (F.get("p", 2) == "a")).withColumn("vendor", F.get("p", 3)).withColumn("product", F.get("p", 4)).filter(~F.col("vendor").isin("*", "-") & ~F.col("product").isin("*", "-"))
     text = lambda c: F.nullif(F.col(f"m.{c}"), F.lit(""))
     return apps.select(
@@ -72,15 +75,6 @@ def upsert_cves(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return existing.join(incoming.select("cve_id").distinct(), "cve_id", "left_anti").unionByName(incoming.distinct())
 
 
-def latest_cves(history: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The latest row of each key in a history of feed rows."""
-    return history.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")
-
-
-def package_index(cves: DataFrame) -> DataFrame:
-    return cves.select("package_name", "ecosystem", "cve_id").distinct()
-
-
 def refresh_plan(state: DataFrame, feeds: DataFrame, now: str, force: bool = False, max_age_hours: int = 24) -> DataFrame:
     """The feeds to read: all if forced or nothing was read yet, none while young, else ``modified`` alone.
 
@@ -91,3 +85,24 @@ def refresh_plan(state: DataFrame, feeds: DataFrame, now: str, force: bool = Fal
     full = F.col("last").isNull() | F.lit(force)
     wanted = F.when(full, F.col("feed") != "modified").otherwise((age >= max_age_hours) & (F.col("feed") == "modified"))
     return feeds.crossJoin(F.broadcast(last)).filter(wanted).select("feed", "path")
+
+
+def ingest_feeds(spark: SparkSession, plan: DataFrame, store: Callable[[DataFrame], None], now: str) -> DataFrame:
+    """Read the feeds of a plan (feed, path; a few dozen rows) one by one and store their entries.
+
+    A feed that can't be read is skipped and its error kept; the others go on. Returns
+    feed, entries, error, last_modified: the state's new stamp, ``now`` for the feeds
+    that brought entries and null for all others, so that these are read again.
+    """
+    done = []
+    for feed in plan.orderBy("feed").collect():
+        n, error = 0, None
+        try:
+            entries = cut(flatten_cve_items(read_cve_feed(spark, feed["path"])))
+            if n := entries.count():
+                store(entries)
+        except Exception as e:  # one broken year doesn't stop the others
+            n, error = 0, f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
+        done.append((feed["feed"], n, error, now if n else None))
+    rows = spark.createDataFrame(done, "feed string, entries long, error string, last_modified string")
+    return rows.withColumn("last_modified", F.col("last_modified").cast("timestamp"))

@@ -1,50 +1,23 @@
-"""Streams of snapshots and of vulnerabilities.
-
-State that has to outlive a micro-batch is a table with one folder per batch id: a
-batch that runs again overwrites its own folder, so the state is as if it ran once.
-"""
+"""Streams of snapshots and of vulnerabilities."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.names import normalise_name
 from ..functions.scores import cvss_band, risk_at_least
 from ..functions.versions import bound_key, parse_version, range_contains
-from ..sources.cve_feed import upsert_cves
 
 P = "project_id"
 SNAPSHOT = "project_id string, taken_at timestamp, name string, version string"
-
-
-class BatchTable:
-    """A table that each micro-batch replaces: one folder per batch, the latest before a batch is its state."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-
-    def _batches(self) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(p):
-            return []
-        names = (s.getPath().getName() for s in fs.listStatus(p))
-        return sorted(int(n.split("=")[1]) for n in names if n.startswith("batch=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS")))
-
-    def before(self, batch: int) -> DataFrame:
-        earlier = [b for b in self._batches() if b < batch]
-        if not earlier:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/batch={earlier[-1]}")
-
-    def latest(self) -> DataFrame:
-        return self.before(1 << 62)
-
-    def write(self, df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+CHANGE = "project_id string, taken_at timestamp, change_type string, name string, old_version string, new_version string"
+_KEPT = "taken_at timestamp, names array<string>, versions array<string>"
 
 
 def snapshot_changes(rows: DataFrame) -> DataFrame:
@@ -66,28 +39,51 @@ def snapshot_changes(rows: DataFrame) -> DataFrame:
     return every.select(P, "taken_at", "change_type", "name", "old_version", "new_version")
 
 
-def latest_snapshot(rows: DataFrame) -> DataFrame:
-    last = rows.groupBy(P).agg(F.max("taken_at").alias("taken_at"))
-    return rows.join(last, [P, "taken_at"], "left_semi").select(P, "taken_at", "name", "version").distinct()
+def _differences(old: set[tuple], new: set[tuple]) -> Iterator[tuple]:
+    """(change_type, name, old_version, new_version) between two sets of (name, version)."""
+    yield from (("added", name, None, v) for name, v in new - old)
+    yield from (("removed", name, v, None) for name, v in old - new)
+    before: dict[str, list] = {}
+    for name, v in old:
+        before.setdefault(name, []).append(v)
+    yield from (("version_changed", name, v, w) for name, w in new for v in before.get(name, ()) if None not in (v, w) and v != w)
 
 
-def dependency_change_stream(snapshots: DataFrame, state: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Write the changes of a stream of snapshots to ``out``; ``state`` holds each project's last snapshot.
+def dependency_changes(snapshots: DataFrame) -> DataFrame:
+    """The changes of a stream of snapshots; the state keeps each project's last one.
 
-    Rows without project, time or name are skipped. Late snapshots, older than the
-    state's, are left out of comparison.
+    Rows without project, time or name are skipped. Snapshots that come late, no newer
+    than the last one kept, are left out of comparison. A snapshot must arrive whole in
+    one micro-batch. The result is that of :func:`snapshot_changes` over all rows.
     """
 
-    def batch(df: DataFrame, n: int) -> None:
-        table = BatchTable(df.sparkSession, state, SNAPSHOT)
-        known = table.before(n)
-        last = known.groupBy(P).agg(F.max("taken_at").alias("last"))
-        fresh = df.filter("project_id IS NOT NULL AND taken_at IS NOT NULL AND name IS NOT NULL").join(last, P, "left").filter("last IS NULL OR taken_at > last").drop("last")
-        both = known.unionByName(fresh.select(P, "taken_at", "name", "version"))
-        snapshot_changes(both).write.mode("overwrite").parquet(f"{out}/batch={n}")
-        table.write(latest_snapshot(both), n)
-
-    return snapshots.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at, last = None, set()
+        if state.exists:
+            at, names, versions = state.get
+            last = set(zip(names, versions, strict=True))
+        taken: dict[pd.Timestamp, set] = {}
+        for part in parts:
+            for t, name, version in part[["taken_at", "name", "version"]].itertuples(index=False):
+                if at is None or t > pd.Timestamp(at):
+                    taken.setdefault(t, set()).add((name, version))
+        out = []
+        for t in sorted(taken):
+            if at is not None:
+                out += [(key[0], t, *change) for change in _differences(last, taken[t])]
+            at, last = t, taken[t]
+        if taken:
+            names, versions = zip(*sorted(last, key=str))
+            state.update((at.to_pydatetime(), list(names), list(versions)))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGE.split(", ")]).astype({"taken_at": "datetime64[us]"})
+
+    known = snapshots.filter("project_id IS NOT NULL AND taken_at IS NOT NULL AND name IS NOT NULL").select(P, "taken_at", "name", "version")
+    return known.groupBy(P).applyInPandasWithState(step, CHANGE, _KEPT, "append", GroupStateTimeout.NoTimeout)
+
+
+def dependency_change_stream(snapshots: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Append the changes of a stream of snapshots to the Parquet files of ``out``, until its input is used up."""
+    return dependency_changes(snapshots).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def cve_alerts(cves: DataFrame, nodes: DataFrame, min_severity: str = "HIGH") -> DataFrame:
@@ -103,11 +99,21 @@ def cve_alerts(cves: DataFrame, nodes: DataFrame, min_severity: str = "HIGH") ->
     return out.withWatermark("seen_at", "1 day").dropDuplicatesWithinWatermark([P, "name", "cve_id"]) if out.isStreaming else out.dropDuplicates([P, "name", "cve_id"])
 
 
-def cve_upsert_stream(incoming: DataFrame, path: str, schema: str, checkpoint: str) -> StreamingQuery:
-    """Keep the table of cve_entries below ``path`` up to date with a stream of entries."""
+def cve_upsert_stream(incoming: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Add a stream of cve_entries to the table below ``path``: each micro-batch is a partition of its own.
+
+    Nothing that was written before is written again; a batch that runs twice overwrites
+    its own partition. :func:`current_cves` reads the table.
+    """
 
     def batch(df: DataFrame, n: int) -> None:
-        table = BatchTable(df.sparkSession, path, schema)
-        table.write(upsert_cves(table.before(n), df), n)
+        df.dropDuplicates().write.mode("overwrite").parquet(f"{path}/batch={n}")
 
     return incoming.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_cves(spark: SparkSession, path: str) -> DataFrame:
+    """The entries as they stand: of each CVE all ranges of the last batch that brought any."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    last = rows.groupBy("cve_id").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["cve_id", "batch"], "left_semi").drop("batch")

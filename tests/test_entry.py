@@ -9,7 +9,6 @@ import __spark_entry__ as entry
 from sparkweft import queries as library
 
 SF = "/root/testdata/sf0.001"
-QUICK = ("version_match", "bloom_params", "requirements_parse", "package_json_parse", "package_lock_parse", "toml_xml_parse", "cve_feed_flatten", "resolve_nodes", "graph_nodes_edges", "blast_radius", "dependency_diff", "advice_fields", "severity_counts")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the given tables are not here")
 
 
@@ -18,7 +17,7 @@ def normal(rows, columns):
     return sorted(repr([round(r[i], 6) + 0.0 if isinstance(r[i], float) else r[i] for i in order]) for r in rows)
 
 
-@pytest.mark.parametrize("name", QUICK)
+@pytest.mark.parametrize("name", sorted(library.oracle_sql()))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
     for t in ("part", "orders", "lineitem", "events"):

@@ -1,5 +1,7 @@
 """Scalar functions against literal expectations."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,34 +17,68 @@ def values(spark, f, inputs):
     return [r[0] for r in df.orderBy("i").select(f(F.col("x"))).collect()]
 
 
+KEYS = {
+    "1.2.3": (1, 2, 3), "v2": (2, 0, 0), "7": (7, 0, 0), "10.4": (10, 4, 0), "1.2.3.4": (1, 2, 3, 4), "1.2.3.4.5": (1, 2, 3, 4, "5"), "3.1.0.9-rc.2": (3, 1, 0, 9, "rc.2"),
+    "1.0a1": (1, 0, 0, "0a1"), "1.2.3+b": (1, 2, 0, "3+b"), "5.6-beta-2": (5, 6, 0, "beta-2"), "1-2": (1, 0, 0, "2"), "1..2": (1, 0, 0, ".2"), "4.5.": (4, 0, 0, "5."), "4.5-": (4, 0, 0, "5-"),
+    "4.": (4, "", 0), "a.b": ("a", 0, 0), "12a.1": ("12a", 0, 0), "vx1": ("vx1", 0, 0), "  8.1 ": (8, 1, 0), "": (0, 0, 0), "*": (0, 0, 0), "-": (0, 0, 0), "unknown": (0, 0, 0), None: (0, 0, 0),
+    "99999999999999999999.1": ("99999999999999999999", 1, 0),
+}
+
+
 def test_parse_version(spark):
-    keys = values(spark, versions.parse_version, ["1.2.3", "v2", "1.0a1", "1.2.3.4-rc1", "", "*", "unknown", None, "1.2.3+b", "a.b", "1.2.3-beta"])
-    plain = [tuple(p["n"] if p["n"] is not None else p["s"] for p in k) for k in keys]
-    assert plain == [(1, 2, 3), (2, 0, 0), (1, 0, "0a1") if plain[2][2] == "0a1" else plain[2], (1, 2, 3, 4, "rc1"), (0, 0, 0), (0, 0, 0), (0, 0, 0), (0, 0, 0), plain[8], ("a", 0, 0), (1, 2, 3, "beta")]
+    got = values(spark, versions.parse_version, list(KEYS))
+    assert {v: tuple(p["n"] if p["n"] is not None else p["s"] for p in k) for v, k in zip(KEYS, got, strict=True)} == KEYS
 
 
-@pytest.mark.parametrize(("a", "b", "expected"), [("1.2.3", "1.2.3", 0), ("1.2.3", "1.2.4", -1), ("1.10.0", "1.9.0", 1), ("1.0", "1.0.0", 0), ("2.0.0-rc1", "2.0.0", 1), ("2", "10", -1)])
-def test_compare(spark, a, b, expected):
-    assert one(spark, versions.compare_versions(F.lit(a), F.lit(b)))[0] == expected
+def compared(a, b):
+    """Brute force for plain keys: part by part, as text where the kinds differ."""
+    n = max(len(a), len(b))
+    for x, y in zip(a + (0,) * (n - len(a)), b + (0,) * (n - len(b)), strict=True):
+        if type(x) is not type(y):
+            x, y = str(x), str(y)
+        if x != y:
+            return -1 if x < y else 1
+    return 0
 
 
-RANGES = [
-    ("1.2.0", "1.2.8", True, True, "1.2.4", True), ("1.2.0", "1.2.8", True, True, "1.2.8", False), ("1.2.0", "1.2.8", True, False, "1.2.8", True),
-    ("1.0.0", "2.0.0", True, True, "0.9.9", False), ("1.2.0", "1.2.8", False, True, "1.2.0", False), ("2.0.0", "", True, True, "99.0.0", True),
-    ("", "1.2.0", True, True, "0.1.0", True), ("", "1.2.0", True, True, "1.2.0", False), ("", "", True, True, "999.0.0", True),
-]
+def test_compare(spark):
+    pairs = [(a, b) for a in KEYS for b in KEYS]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = df.select("a", "b", versions.compare_versions(F.col("a"), F.col("b")).alias("c")).collect()
+    assert len(got) == len(pairs) and all(r["c"] == compared(KEYS[r["a"]], KEYS[r["b"]]) for r in got)
+    assert one(spark, versions.compare_versions(F.lit("1.10"), F.lit("1.9")))[0] == 1 and one(spark, versions.compare_versions(F.lit("2.0"), F.lit("2.0.0")))[0] == 0
 
 
 def test_ranges(spark):
-    df = spark.createDataFrame(RANGES, "s string, e string, si boolean, ee boolean, v string, want boolean")
+    """All kinds of ends around generated versions, against brute force."""
+    rng = random.Random(8)
+    version = lambda: ".".join(str(rng.randint(0, 3)) for _ in range(rng.randint(1, 4)))
+    rows = [(rng.choice(["", version()]), rng.choice(["", version()]), rng.random() < 0.5, rng.random() < 0.5, version()) for _ in range(400)]
+    df = spark.createDataFrame(rows, "s string, e string, si boolean, ee boolean, v string")
     hit = versions.range_contains(versions.parse_version(F.col("v")), versions.bound_key(F.col("s")), versions.bound_key(F.col("e")), F.col("si"), F.col("ee"))
-    assert all(r["hit"] == r["want"] for r in df.select(hit.alias("hit"), "want").collect())
+    key = lambda v: tuple(map(int, v.split(".")))
+
+    def within(s, e, si, ee, v):
+        low = not s or compared(key(v), key(s)) >= (0 if si else 1)
+        return low and (not e or compared(key(v), key(e)) <= (-1 if ee else 0))
+
+    got = df.select("s", "e", "si", "ee", "v", hit.alias("hit")).collect()
+    assert all(r["hit"] == within(*r[:5]) for r in got) and 50 < sum(r["hit"] for r in got) < 350
+
+
+SPECS = {
+    "==2.28.0": "2.28.0", ">=2.0,<3": "2.0", ">= 2 , ==1.5": "1.5", "~=1.4b2": "1.4b2", "": "unknown", "*": "unknown", "== 1 ; x": "1", "==": "unknown", "==,>=3": "3", "rc-7.x": "7.x", "<\t9": "9", ">=;4": "4",
+}
+
+
+def test_requested_pip_versions(spark):
+    assert dict(zip(SPECS, values(spark, names.extract_pip_version, list(SPECS)), strict=True)) == SPECS
+    assert {s: names.pip_version(s) for s in SPECS} == SPECS
 
 
 def test_names(spark):
     assert values(spark, names.normalise_pip, ["Flask-SQL.x y"]) == ["flask_sql_x_y"]
     assert values(spark, names.normalise_name, ["Node-Fetch.x"]) == ["node_fetch.x"]
-    assert values(spark, names.extract_pip_version, ["==2.28.0", ">=2.0,<3", "~=1.4b2", "", "*", "== 1 ; x"]) == ["2.28.0", "2.0", "1.4b2", "unknown", "unknown", "1"]
     assert values(spark, names.npm_request, ["^18.2.0", ">=1.0 <2", "git+https://x", "file:../a", "^", "github:a/b"]) == ["18.2.0", "1.0", "git", None, "unknown", "git"]
 
 
@@ -61,6 +97,12 @@ def test_scores(spark):
     assert values(spark, lambda x: scores.risk_at_least(x, "high"), ["CRITICAL", "HIGH", "LOW"]) == [True, True, False]
 
 
+def test_upgrade_commands(spark):
+    df = spark.createDataFrame([("npm", "@s/a"), ("pip", "b"), ("maven", "g:c"), ("unknown", "d"), (None, "e")], "ecosystem string, name string")
+    got = {r["name"]: r["c"] for r in df.select("name", scores.upgrade_command(F.col("ecosystem"), F.col("name")).alias("c")).collect()}
+    assert got == {"@s/a": "npm install @s/a@latest", "b": "pip install --upgrade b", "g:c": "mvn versions:use-latest-releases -Dincludes=g:c", "d": None, "e": None}
+
+
 def test_bloom_parameters():
     assert scores.bloom_params(100_000, 0.001) == (1_437_759, 10)
     for n, p in ((0, 0.1), (10, 0.0), (10, 1.0)):

@@ -1,5 +1,7 @@
 """Graph operators on small graphs with known answers, and invariants."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,8 +10,8 @@ from sparkweft.operators import graph, match, patchset, reach, report, risk
 
 P = "project_id"
 DEPS = [
-    ("a", 1, "express", "4.18.2", "npm", False, True, None), ("a", 2, "lodash", "4.17.20", "npm", False, True, None), ("a", 3, "axios", "0.21.1", "npm", False, True, None),
-    ("a", 4, "qs", "6.5.2", "npm", False, False, "express"), ("a", 5, "follow-redirects", "1.14.8", "npm", False, False, "axios"),
+    ("a", 1, "web", "3.1.0", "npm", False, True, None), ("a", 2, "cli", "0.4", "npm", False, True, None), ("a", 3, "queue", "7.2.1", "npm", True, True, None),
+    ("a", 4, "router", "2.2", "npm", False, False, "web"), ("a", 5, "url", "1.9.9", "npm", False, False, "router"), ("a", 6, "url", "1.8.0", "npm", False, False, "queue"),
 ]
 DEP = "project_id string, seq long, name string, version string, ecosystem string, is_dev boolean, is_direct boolean, parent string"
 VULN = "project_id string, name string, cvss_score double, primary_cve string"
@@ -28,10 +30,10 @@ def groups(df):
 
 def test_build_graph(spark):
     g = graph.build_graph(spark.createDataFrame(DEPS, DEP))
-    assert {(r["src"], r["dst"]) for r in g.edges.collect()} == {("__root__", "express"), ("__root__", "lodash"), ("__root__", "axios"), ("express", "qs"), ("axios", "follow-redirects")}
+    assert {(r["src"], r["dst"]) for r in g.edges.collect()} == {("__root__", "web"), ("__root__", "cli"), ("__root__", "queue"), ("web", "router"), ("router", "url"), ("queue", "url")}
     nodes = {r["name"]: r["version"] for r in g.nodes.collect()}
-    assert len(nodes) == 6 and nodes["__root__"] == "0.0.0"
-    assert tuple(graph.sizes(g).first()) == ("a", 6, 5)
+    assert nodes == {"__root__": "0.0.0", "web": "3.1.0", "cli": "0.4", "queue": "7.2.1", "router": "2.2", "url": "1.9.9"}
+    assert tuple(graph.sizes(g).first()) == ("a", 6, 6)
 
 
 def test_resolution_and_majority(spark):
@@ -79,6 +81,62 @@ def test_blast_and_paths(spark, sink, kind, level):
     assert [(p["path"], p["sink_type"], p["path_length"], p["exploitability"]) for p in paths] == [(["bad", "mid", sink], kind, 3, "LOCAL")]
 
 
+def walks(links, source, sinks, most, simple):
+    """Brute force: every walk from a source to its first sink."""
+    open_, out = [(source,)], []
+    while open_:
+        nxt = [w + (d,) for w in open_ for s, d in links if s == w[-1] and not (simple and d in w)]
+        out += [w for w in nxt if w[-1] in sinks]
+        open_ = [w for w in nxt if w[-1] not in sinks and len(w) < most]
+    return out
+
+
+@pytest.mark.parametrize("simple", [False, True])
+def test_attack_paths_are_the_best_of_all_walks(spark, simple):
+    rng = random.Random(12)
+    nodes = [f"n{i}" for i in range(9)]
+    links = sorted({(rng.choice(nodes), rng.choice(nodes)) for _ in range(26)} | {("n1", "db"), ("n5", "db"), ("n7", "net"), ("db", "n2")})
+    links = [x for x in links if x[0] != x[1]]
+    sinks = {"db": "database", "net": "network"}
+    e = spark.createDataFrame([("a", *x) for x in links], f"{P} string, src string, dst string")
+    blast = spark.createDataFrame([("a", n, 7.3, 2.0) for n in ("n0", "n3", "db")], f"{P} string, source_node string, cvss_score double, multiplier double")
+    got = reach.attack_paths(e, blast, spark.createDataFrame(list(sinks.items()), "node string, sink_type string"), max_nodes=6, simple_paths=simple).collect()
+    for source in ("n0", "n3", "db"):
+        every = sorted(walks(links, source, sinks, 6, simple), key=lambda w: (-round(7.3 / len(w) * 2, 4), len(w), w))
+        assert [tuple(r["path"]) for r in sorted((r for r in got if r["source"] == source), key=lambda r: r["rank"])] == every[:10]
+    assert len(got) > 15
+
+
+def test_attack_paths_of_a_complete_graph(spark):
+    """200 packages that all depend on each other have 198 ** 8 walks of ten nodes; ten of each source are kept in a round."""
+    n = spark.range(200)
+    e = n.select(F.col("id").alias("src")).crossJoin(n.select(F.col("id").alias("dst"))).filter("src <> dst").withColumn(P, F.lit("a"))
+    blast = spark.createDataFrame([("a", 3, 9.0, 3.0), ("a", 150, 5.0, 3.0)], f"{P} string, source_node long, cvss_score double, multiplier double")
+    got = reach.attack_paths(e, blast, spark.createDataFrame([(77, "crypto")], "node long, sink_type string")).collect()
+    assert sorted((r["source"], r["rank"], r["path"]) for r in got if r["rank"] <= 3) == [(s, k + 1, [s, *mid, 77]) for s in (3, 150) for k, mid in enumerate(([], [0], [1]))]
+    assert len(got) == 20
+
+
+def test_recommendations_merge(spark):
+    schema = f"{P} string, source_node string, cve_id string, cvss_score double, reachable_count long, sink_types array<string>, blast_radius_score double"
+    blast = spark.createDataFrame([("a", "x", "C1", 9.5, 0, [], 3.0), ("a", "y", "C2", 7.0, 4, ["network", "crypto"], 8.0), ("a", "z", "C3", 1.0, 1, ["network"], 8.0)], schema)
+    paths = spark.createDataFrame([("a", "y", 1, ["y", "q"]), ("a", "y", 2, ["y", "r", "q"])], f"{P} string, source string, rank int, path array<string>")
+    rows = report.fallback_recommendations(blast, spark.createDataFrame([("a", "pip")], f"{P} string, ecosystem string"), paths)
+    reviewed = rows.filter("package_name = 'z'").withColumn("confidence", F.lit("HIGH")).withColumn("recommended_version", F.lit("2.1"))
+    got = report.merge_recommendations(reviewed, rows, 2).orderBy("rank").collect()
+    assert [(r["package_name"], r["recommended_version"], r["confidence"]) for r in got] == [("z", "2.1", "HIGH"), ("y", "latest", "MEDIUM")]
+    text = {r["package_name"]: (r["threat_explanation"], r["attack_path_summary"]) for r in rows.collect()}
+    assert text["y"] == ("C2 has a score of 7.0 in y. From it 4 packages can be reached. Sensitive access: crypto, network.", "path: y > q")
+    assert text["x"] == ("C1 has a score of 9.5 in x. No other package can be reached from it.", "no path to a sensitive package")
+
+
+def test_reports_are_written(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 3), ("b", 4)], f"{P} string, total long")
+    for fmt in ("json", "parquet"):
+        report.write_report(rows, f"{tmp_path}/{fmt}", fmt)
+        assert sorted(map(tuple, spark.read.format(fmt).load(f"{tmp_path}/{fmt}").select(P, "total").collect())) == [("a", 3), ("b", 4)]
+
+
 def test_own_sink_counts_but_is_not_listed(spark):
     blast = risk.blast_radius(edges(spark, "jsonwebtoken>x"), spark.createDataFrame([("a", "jsonwebtoken", 5.0, "C")], VULN), sink_table(spark).withColumnRenamed("name", "node")).first()
     assert (blast["sinks_reachable"], blast["data_sensitivity"], blast["blast_radius_score"]) == ([], "CRITICAL", 15.0)
@@ -94,8 +152,8 @@ def test_trust_clusters(spark, n, score, level):
 
 def test_topological_risk_of_leaves_is_the_score(spark):
     g = graph.build_graph(spark.createDataFrame(DEPS, DEP))
-    v = spark.createDataFrame([("a", "qs", 7.5, "C1"), ("a", "lodash", 7.2, "C2")], VULN)
-    assert {(r["name"], r["topological_risk_score"]) for r in risk.topological_risk(g.edges, g.nodes, v).collect()} == {("qs", 7.5), ("lodash", 7.2)}
+    v = spark.createDataFrame([("a", "url", 7.5, "C1"), ("a", "cli", 7.2, "C2")], VULN)
+    assert {(r["name"], r["topological_risk_score"]) for r in risk.topological_risk(g.edges, g.nodes, v).collect()} == {("url", 7.5), ("cli", 7.2)}
 
 
 def test_match_and_rollup(spark):
@@ -105,7 +163,7 @@ def test_match_and_rollup(spark):
     assert [(r["name"], r["cvss_score"], r["cve_ids"], r["primary_cve"]) for r in got] == [("Follow-Redirects", 8.0, ["C2", "C1"], "C2")]
     assert {r["cve_id"] for r in match.match_cves(nodes, cves, ecosystem_aware=True).collect()} == {"C1"}
     assert "C4" in {r["cve_id"] for r in match.match_cves(nodes, cves, match_artifact=True).collect()}
-    assert {"Follow-Redirects", "x"} <= {r["name"] for r in match.bloom_prefilter(nodes, cves).collect()}
+    assert {"Follow-Redirects", "x"} <= {r["name"] for r in match.known_packages(nodes, cves).collect()}
 
 
 def test_patch_set(spark):

@@ -4,6 +4,7 @@ import gzip
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkweft.sources import cve_feed, manifests
 
@@ -41,6 +42,41 @@ def test_lock_version_1(spark):
     assert got == {("a", "1.0", False, None), ("c", "unknown", False, None), ("b", "2.0", True, "a")}
 
 
+def manifest(spark, name, content):
+    return spark.createDataFrame([("p", f"/r/{name}", content)], "project_id string, manifest_path string, content string")
+
+
+def test_lock_version_1_nests_without_bound(spark):
+    inner = {}
+    for depth in range(49, -1, -1):
+        inner = {f"d{depth:02d}": {"version": f"{depth}.0", **({"dependencies": inner} if inner else {})}}
+    got = manifests.parse_package_lock_v1(manifest(spark, "package-lock.json", json.dumps({"dependencies": inner}))).orderBy("seq").collect()
+    assert [(r["name"], r["version"], r["parent"]) for r in got] == [(f"d{k:02d}", f"{k}.0", f"d{k - 1:02d}" if k else None) for k in range(50)]
+
+
+def test_lock_version_1_knows_direct_packages_and_keeps_the_order(spark):
+    lock = {"packages": {"": {"dependencies": {"b": "^1"}, "devDependencies": {"y": "1"}}}, "dependencies": {"b": {"version": "1", "dependencies": {"y": {}, "x": {}}}, "a": {}}}
+    got = manifests.parse_package_lock_v1(manifest(spark, "package-lock.json", json.dumps(lock))).orderBy("seq").collect()
+    assert [(r["seq"], r["name"], r["is_direct"]) for r in got] == [(1, "b", True), (2, "y", True), (3, "x", False), (4, "a", False)]
+
+
+def test_lock_of_many_packages(spark):
+    lock = {"lockfileVersion": 3, "packages": {"": {"dependencies": {"p0": "1"}}} | {f"node_modules/p{i}": {"version": f"{i}.0", "dependencies": {"q": "1"}} for i in range(200_000)}}
+    got = manifests.load_manifests(manifest(spark, "package-lock.json", json.dumps(lock)))
+    row = got.agg(F.count(F.lit(1)), F.count_distinct("seq"), F.min("seq"), F.max("seq")).first()
+    assert tuple(row) == (400_001, 400_001, 1, 400_001)
+
+
+def test_wrong_shapes_are_errors_and_the_rest_is_read(spark):
+    rows = [
+        ("p", "/a/package-lock.json", json.dumps({"lockfileVersion": 2, "packages": ["x"]})), ("p", "/b/package-lock.json", json.dumps({"dependencies": 3})),
+        ("p", "/c/package.json", json.dumps({"dependencies": ["x"], "devDependencies": {"ok": "1"}})), ("p", "/d/package.json", "[1]"), ("p", "/e/package.json", json.dumps({"dependencies": {"fine": "2"}})), ("p", "/f/package.json", ""), ("p", "/g/package.json", None),
+    ]
+    df = spark.createDataFrame(rows, "project_id string, manifest_path string, content string")
+    assert {r["name"] for r in manifests.load_manifests(df).collect()} == {"ok", "fine"}
+    assert {r["manifest_path"][:2] for r in manifests.parse_errors(df).collect()} == {"/a", "/b", "/c", "/d", "/f", "/g"}
+
+
 def test_errors_do_not_stop_the_rest(spark):
     rows = [("p", "/r/package.json", "{bad"), ("p", "/r/Pipfile", "= ="), ("p", "/r/pom.xml", "<a>"), ("p", "/r/x.lock", ""), ("p", "/r/requirements.txt", "ok==1")]
     df = spark.createDataFrame(rows, "project_id string, manifest_path string, content string")
@@ -49,10 +85,12 @@ def test_errors_do_not_stop_the_rest(spark):
 
 
 def test_discovery(spark, tmp_path):
-    for p in ("a/package.json", "a/Package-Lock.json", "a/node_modules/x/package.json", "b/pom.xml", "b/other.txt"):
+    for p in ("a/package.json", "a/Package-Lock.json", "a/README.md", "a/node_modules/x/package.json", "b/pom.xml", "b/other.txt"):
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / p).write_text("{}")
-    got = [(r["manifest_path"].split("/")[-2:], r["priority"]) for r in manifests.discover_manifests(spark, str(tmp_path)).collect()]
+    found = manifests.discover_manifests(spark, str(tmp_path)).orderBy("folder", "priority").collect()
+    got = [(r["manifest_path"].split("/")[-2:], r["priority"]) for r in found]
+    assert {r["manifest_path"] for r in manifests.read_manifests(spark, str(tmp_path)).collect()} == {r["manifest_path"] for r in found}
     assert got == [(["a", "Package-Lock.json"], 0), (["a", "package.json"], 1), (["b", "pom.xml"], 5)]
 
 
@@ -72,6 +110,28 @@ def test_feed(spark, tmp_path):
     assert got["json"]["ecosystem"] == "npm"
 
 
+def test_feed_children_of_any_depth(spark, tmp_path):
+    node = {"cpe_match": [{"vulnerable": True, "cpe23Uri": "cpe:2.3:a:v:bottom:*"}]}
+    for k in range(5):
+        node = {"cpe_match": [{"vulnerable": True, "cpe23Uri": f"cpe:2.3:a:v:level{k}:*"}], "children": [node, {"cpe_match": None}]}
+    (tmp_path / "f.json").write_text(json.dumps({"CVE_Items": [{"cve": {"CVE_data_meta": {"ID": "CVE-9"}}, "configurations": {"nodes": [node]}}]}))
+    got = {r["package_name"] for r in cve_feed.flatten_cve_items(cve_feed.read_cve_feed(spark, str(tmp_path))).collect()}
+    assert got == {"bottom", *(f"level{k}" for k in range(5))}
+
+
+def test_one_broken_feed_does_not_stop_the_others(spark, tmp_path):
+    item = {"cve": {"CVE_data_meta": {"ID": "CVE-1"}}, "configurations": {"nodes": [{"cpe_match": [{"vulnerable": True, "cpe23Uri": "cpe:2.3:a:v:lib:*"}]}]}}
+    with gzip.open(tmp_path / "2021.json.gz", "wt") as f:
+        json.dump({"CVE_Items": [item]}, f)
+    (tmp_path / "2022.json.gz").write_bytes(b"\x1f\x8b broken")
+    (tmp_path / "2023.json").write_text('{"CVE_Items": []}')
+    plan = spark.createDataFrame([(n.split(".")[0], str(tmp_path / n)) for n in ("2021.json.gz", "2022.json.gz", "2023.json", "2024.json")], "feed string, path string")
+    kept = []
+    got = {r["feed"]: r for r in cve_feed.ingest_feeds(spark, plan, lambda df: kept.extend(df.collect()), "2024-06-01 00:00:00").collect()}
+    assert [r["cve_id"] for r in kept] == ["CVE-1"]
+    assert {f: (r["entries"], r["error"] is None, r["last_modified"] is not None) for f, r in got.items()} == {"2021": (1, True, True), "2022": (0, False, False), "2023": (0, True, False), "2024": (0, False, False)}
+
+
 def test_refresh_plan(spark):
     feeds = spark.createDataFrame([("2023", "/a"), ("2024", "/b"), ("modified", "/m")], "feed string, path string")
     plan = lambda last, **kw: {r["feed"] for r in cve_feed.refresh_plan(spark.sql(f"SELECT 'all' AS feed, {last} AS last_modified"), feeds, "2024-06-02 00:00:00", **kw).collect()}

@@ -8,20 +8,24 @@ CVE = "cve_id string, package_name string, ecosystem string, version_start strin
 
 
 def test_changes_over_batches(spark, tmp_path):
-    src, dirs = str(tmp_path / "in"), [str(tmp_path / d) for d in ("state", "out", "log")]
+    src, out, log = (str(tmp_path / d) for d in ("in", "out", "log"))
+    given = []
 
     def put(rows):
+        given.extend(rows)
         spark.createDataFrame(rows, "project_id string, taken_at string, name string, version string").withColumn("taken_at", F.to_timestamp("taken_at")).coalesce(1).write.mode("append").parquet(src)
         stream = spark.readStream.schema(changes.SNAPSHOT).parquet(src)
-        changes.dependency_change_stream(stream, *dirs).awaitTermination()
+        changes.dependency_change_stream(stream, out, log).awaitTermination()
 
     put([("p", "2024-01-01", "x", "1"), ("p", "2024-01-01", "y", "1"), ("q", "2024-01-01", "z", "1"), (None, "2024-01-01", "bad", "1")])
-    assert spark.read.parquet(dirs[1]).count() == 0
+    assert spark.read.schema(changes.CHANGE).parquet(out).count() == 0
     put([("p", "2024-01-02", "x", "2"), ("p", "2024-01-03", "x", "2"), ("p", "2024-01-03", "w", "1")])
-    got = {(r["project_id"], r["change_type"], r["name"], r["old_version"], r["new_version"]) for r in spark.read.parquet(dirs[1]).collect()}
+    got = {(r["project_id"], r["change_type"], r["name"], r["old_version"], r["new_version"]) for r in spark.read.schema(changes.CHANGE).parquet(out).collect()}
     assert got == {("p", "added", "x", None, "2"), ("p", "removed", "x", "1", None), ("p", "version_changed", "x", "1", "2"), ("p", "removed", "y", "1", None), ("p", "added", "w", None, "1")}
-    last = changes.BatchTable(spark, dirs[0], changes.SNAPSHOT).latest()
-    assert {(r["project_id"], r["name"]) for r in last.collect()} == {("p", "x"), ("p", "w"), ("q", "z")}
+    put([("q", "2023-12-31", "late", "1"), ("q", "2024-01-05", "z", "1"), ("q", "2024-01-05", "v", None)])  # older than the state; then a new one
+    rows = spark.createDataFrame([r for r in given if r[0] and r[2] != "late"], "project_id string, taken_at string, name string, version string").withColumn("taken_at", F.to_timestamp("taken_at"))
+    want = changes.snapshot_changes(rows).collect()
+    assert sorted(map(str, spark.read.schema(changes.CHANGE).parquet(out).collect())) == sorted(map(str, want)) and len(want) == 6
 
 
 def entries(spark, rows):
@@ -33,8 +37,8 @@ def test_upsert_and_alerts(spark, tmp_path):
     row = lambda cve, end, score: (cve, "lib", "npm", "", end, False, True, score)
     for rows in ([row("C1", "1.0", 9.5), row("C2", "2.0", 3.0)], [row("C1", "3.0", 9.9)]):
         entries(spark, rows).coalesce(1).write.mode("append").parquet(src)
-        changes.cve_upsert_stream(spark.readStream.schema(CVE).parquet(src), path, CVE, str(tmp_path / "log")).awaitTermination()
-    stored = {(r["cve_id"], r["version_end"]) for r in changes.BatchTable(spark, path, CVE).latest().collect()}
+        changes.cve_upsert_stream(spark.readStream.schema(CVE).parquet(src), path, str(tmp_path / "log")).awaitTermination()
+    stored = {(r["cve_id"], r["version_end"]) for r in changes.current_cves(spark, path).collect()}
     assert stored == {("C1", "3.0"), ("C2", "2.0")}
     nodes = spark.createDataFrame([("p", "Lib", "1.5")], "project_id string, name string, version string")
     alerts = changes.cve_alerts(spark.readStream.schema(CVE).parquet(src), nodes, "HIGH")
