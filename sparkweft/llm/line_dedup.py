@@ -1,10 +1,12 @@
 """Line dedup: hash every line's key, count the documents that hold it, drop what is too common.
 
-The lines of each document are hashed (128 bits) in an Arrow map step; one row per
-distinct (document, key) goes to a partially aggregated count, so a key that stands
-in a third of all documents still reaches its reducer as one row per task. The
-drops, a small table, are then joined to the documents once and each document is
-put together again from its own lines, in place.
+The lines of each document are hashed (128 bits) in an Arrow map step. The distinct
+documents of each key are counted in two steps, by (key, document) and then, partially
+aggregated, by key, so a key that stands in a third of all documents reaches its
+reducer as one row per task. The keys to drop are counted; up to BROADCAST_KEYS they
+are broadcast, so that no line is shuffled again, beyond that they are joined by
+shuffling (AQE splits a hot key). The drops are then joined to the documents once and
+each document is put together again from its own lines, in place.
 """
 
 from __future__ import annotations
@@ -16,10 +18,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, arrow_map, column, texts
+from .common import SPACE, arrow_map, column, cut, texts
 
 MIN_CHARS = 40
 MIN_DOCS = 5
+#: Keys up to which the table of common lines is broadcast (40 bytes each).
+BROADCAST_KEYS = 250_000
 
 
 def line_key(line: bytes, min_chars: int = MIN_CHARS) -> bytes | None:
@@ -46,14 +50,17 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def common_lines(keys: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(key, n_docs, keeper): keys in at least ``min_docs`` documents; keeper is the largest doc_id."""
-    return keys.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper")).filter(F.col("n_docs") >= min_docs)
+    """(key, n_docs, keeper): keys in at least ``min_docs`` different documents; keeper is the largest doc_id."""
+    return keys.groupBy("key").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper")).filter(F.col("n_docs") >= min_docs)
 
 
 def line_drops(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, drop): the keys that each document loses."""
-    keys = line_keys(docs, min_chars)
-    lost = keys.join(common_lines(keys, min_docs), "key").filter(F.col("doc_id") != F.col("keeper"))
+    keys = line_keys(docs, min_chars).filter("doc_id IS NOT NULL")
+    common = cut(common_lines(keys, min_docs).select("key", "keeper"))
+    if common.count() <= BROADCAST_KEYS:
+        common = F.broadcast(common)
+    lost = keys.join(common, "key").filter(F.col("doc_id") != F.col("keeper"))
     return lost.groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
 
 
@@ -62,10 +69,11 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
 
     A key of at least ``min_chars`` code points in at least ``min_docs`` documents
     loses all its lines but those of the largest doc_id that holds it. Null or empty
-    text: one empty line, kept. Rows that repeat a doc_id count as that many
-    documents (each lists its own keys) and lose lines alike; a row without doc_id
-    counts, is never the keeper unless no other row is, and stays as it is. An empty
-    table gives an empty result. Other columns are left out, whatever their names.
+    text: one empty line, kept. Rows that repeat a doc_id count as one document, which
+    holds the lines of all of them, and lose lines alike; a row without doc_id counts
+    for no key and stays as it is. A very long line is one key, hashed whole; a very
+    long text is one row of its task. An empty table gives an empty result. Other
+    columns are left out, whatever their names.
     """
     drops = line_drops(docs, min_chars, min_docs)
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(drops.hint("shuffle_hash"), "doc_id", "left")
