@@ -6,7 +6,8 @@ of fractional documents exchange mass (in words) at random until one of the two
 integral; a bucket ends with at most one fractional document. Those residuals meet
 in the next level's buckets, and so on: a reduction tree whose fan-in is the bucket
 size, so that the words of a source are kept up to one document's size and no task
-sees more than a bucket. All random numbers come from hashes of the ids.
+sees more than a bucket. All random numbers come from hashes of whole rows, and rows
+that are equal in all columns are numbered, so that they part too and reruns agree.
 """
 
 from __future__ import annotations
@@ -141,17 +142,25 @@ def reduce_level(rows: DataFrame, level: int, seed: int, last: bool) -> DataFram
     return keyed.groupBy("source", "__bucket").applyInPandas(run, schema).drop("__bucket")
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
-    """How often the mix takes each document: doc_id, source, size, source_size, target, copies.
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of a document's whole row, the same in every rerun."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and "variant" not in t])
 
-    ``size`` is the number of words; ``target`` is the words that the document's
-    source shall give. Null text and text without words have size 0 and 0 copies
-    unless their source's rate is 1 or more. A null source is a source, the last in
-    order. Rows that repeat a doc_id are documents of their own. An empty table
-    gives an empty result. Other columns are left out, whatever their names.
-    """
-    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("__n"))
+
+def counted_out(df: DataFrame, n: Column, name: str) -> DataFrame:
+    """Each row ``n`` times, numbered 1, 2, ... as ``name``; the numbers go out in blocks, so a large n is no large array."""
+    block = 4096
+    blocks = df.withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / block))))
+    within = F.sequence(F.col("__k") * block + 1, F.least(n, (F.col("__k") + 1) * block))
+    return blocks.withColumn(name, F.explode(within)).drop("__k")
+
+
+def mixed_rows(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
+    """:func:`mix` with the hash of the row that each document is (column ``row``)."""
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_hash(docs).alias("row"))
+    sized = cut(rows.groupBy("doc_id", "source", "size", "row").agg(F.count(F.lit(1)).alias("same")))
+    words = F.sum(F.col("size") * F.col("same"))
+    sources = sized.groupBy("source").agg(words.alias("source_size"), F.sum("same").alias("__n"))
     targets = source_targets(sources.select("source", "source_size"), weights, share, most)
     named = targets.withColumnRenamed("source", "__source")
     counted = sources.join(named.drop("source_size"), F.col("source").eqNullSafe(F.col("__source"))).withColumnRenamed("source", "__of").drop("__source")
@@ -160,11 +169,12 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
         counted = F.broadcast(counted)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = (
-        sized.join(counted, F.col("source").eqNullSafe(F.col("__of")))
-        .drop("__of")
+        counted_out(sized, F.col("same"), "__k_of_same").join(counted, F.col("source").eqNullSafe(F.col("__of")))
+        .drop("__of", "same")
         .withColumn("rate", F.least(rate, F.lit(float(most))))
         .withColumn("copies", F.lit(0).cast("long"))
-        .withColumn("__uid", F.xxhash64(F.col("doc_id"), F.lit(seed)))
+        .withColumn("__uid", F.xxhash64("row", "__k_of_same", F.lit(seed)))
+        .drop("__k_of_same")
     )
     levels = max(1, math.ceil(math.log(max(largest or 0, 2), FAN_IN)))
     settled = None
@@ -173,7 +183,22 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
         rows = done.filter(F.col("rate").isNotNull() & ~F.isnan("rate"))
         own = done.filter(F.col("rate").isNull() | F.isnan("rate"))
         settled = own if settled is None else settled.unionByName(own)
-    return settled.select("doc_id", "source", "size", "source_size", "target", "copies")
+    return settled.select("doc_id", "source", "size", "source_size", "target", "copies", "row")
+
+
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
+    """How often the mix takes each document: doc_id, source, size, source_size, target, copies.
+
+    ``size`` is the number of words; ``target`` is the words that the document's
+    source shall give. Null text and text without words have size 0 and 0 copies
+    unless their source's rate is 1 or more. A null source is a source, the last in
+    order. Rows that repeat a doc_id, and rows that are equal in all columns, are
+    documents of their own. A very long text counts by its words like any other: a
+    source is met up to about one document. An empty table gives an empty result.
+    Other columns are left out, whatever their names (they tell rows apart; columns of
+    maps don't).
+    """
+    return mixed_rows(docs, weights, share, most, seed).drop("row")
 
 
 def mix_digest(docs: DataFrame, **kw) -> DataFrame:
@@ -182,10 +207,17 @@ def mix_digest(docs: DataFrame, **kw) -> DataFrame:
 
 
 def apply_mix(docs: DataFrame, **kw) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with ``copy`` 1, 2, ...
+    """The mix itself: each row as often as it is taken, with ``copy`` 1, 2, ...
 
-    Rows that repeat a doc_id are taken as often as the one taken most.
+    Goes by rows: those that repeat a doc_id with another text are taken apart, and of
+    equal rows the sum of what they are taken is written. An input column named
+    ``copy`` is replaced.
     """
-    taken = mix(docs, **kw).filter(F.col("copies") > 0).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("__id")))
-    return joined.select(*[docs[c] for c in docs.columns if c != "copy"], F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("copy"))
+    taken = cut(mixed_rows(docs, **kw).groupBy(F.col("row").alias("__row")).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__same")).filter("__copies > 0"))
+    keyed = docs.withColumn("__key", row_hash(docs))
+    joined = keyed.join(taken.filter("__same = 1"), F.col("__key") == F.col("__row"))
+    if not (equal := taken.filter("__same > 1")).isEmpty():  # one of the equal rows stands for all
+        one = keyed.join(equal.select("__row"), F.col("__key") == F.col("__row"), "left_semi").dropDuplicates(["__key"])
+        joined = joined.unionByName(one.join(equal, F.col("__key") == F.col("__row")))
+    every = counted_out(joined, F.col("__copies"), "__copy")
+    return every.select(*[F.col(f"`{c}`") for c in docs.columns if c != "copy"], F.col("__copy").cast("int").alias("copy"))
