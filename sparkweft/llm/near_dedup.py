@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..session import counted
 from .common import arrow_map, column, cut, parts, texts
 
 WORDS = 5
@@ -127,13 +128,6 @@ def joint_estimate(x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarra
     return j[np.arange(len(j)), like.argmax(1)]
 
 
-def counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """A checkpoint of the table and its number of rows, both in one job."""
-    seen = Observation()
-    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
-    return out, seen.get["n"]
-
-
 def few(df: DataFrame, n: int) -> DataFrame:
     """A table of about ``n`` rows in as many partitions as they fill, so that a small one makes no host of tiny files."""
     return df.coalesce(1 + n // ROWS_PER_PART)
