@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import cut, parts
 
-#: Turns of a block, by turn number.
-BLOCK = 256
+#: Turns of a block, by turn number; turns of one block above which it is split, by turn and by the hash of role and text.
+BLOCK, MOST = 256, 1024
+_KEY = "struct<b:bigint,t:bigint,s:bigint>"
+_KEY_PA = pa.struct([("b", pa.int64()), ("t", pa.int64()), ("s", pa.int64())])
 ROLES = ("start", "system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = range(4)
 RELABEL, ADAPT, MERGE, INSERT = 3, 1, 1, 2
@@ -123,22 +125,45 @@ def streamed(rows: DataFrame, order: list[Column | str], make: Callable[[list[di
     return spread.mapInArrow(run, ddl)
 
 
+def with_blocks(plain: DataFrame) -> DataFrame:
+    """Adds ``h``, the order of turns of one number, and ``block``, a key that sorts like the turns.
+
+    A block is BLOCK turn numbers. Where more than MOST rows share them (many rows of one
+    number, or of none), each number is a block, cut further by the hash ``h``.
+    """
+    number = F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 40)))
+    zero = F.lit(0).cast("long")
+    rows = cut(plain.withColumn("h", F.xxhash64("role", "text")).withColumn("b", number))
+    heavy = cut(rows.groupBy("conv_id", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MOST).select(F.col("conv_id").alias("c"), F.col("b").alias("k")))
+    if heavy.isEmpty():
+        return rows.withColumn("block", F.struct("b", zero.alias("t"), zero.alias("s"))).drop("b")
+    at = F.coalesce("turn", F.lit(-(1 << 62)))
+    inside = rows.join(heavy, rows["conv_id"].eqNullSafe(F.col("c")) & (rows["b"] == F.col("k")), "left_semi")
+    shares = inside.groupBy(F.col("conv_id").alias("c"), at.alias("at")).agg(F.ceil(F.count(F.lit(1)) / MOST).alias("shares"))
+    joined = rows.join(shares, rows["conv_id"].eqNullSafe(F.col("c")) & (at == F.col("at")), "left")
+    share = F.least(F.col("shares") - 1, F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("shares")))
+    split = F.col("shares").isNotNull()
+    block = F.struct("b", F.when(split, at).otherwise(zero).alias("t"), F.when(split, share).otherwise(zero).alias("s"))
+    return cut(joined.withColumn("block", block).select("conv_id", "turn", "role", "text", "h", "block"))
+
+
 def repair(turns: DataFrame) -> DataFrame:
-    """Repair and render conversations: conv_id, turn, role, action, new_role, inserted, rendered.
+    """Repair and render conversations: conv_id, turn, order, role, action, new_role, inserted, rendered.
 
     One row per distinct (conv_id, turn, role, text): exact repeats are one turn. Turns
-    of one number go by role and text; a null number comes first, a null conv_id is a
-    conversation of its own. ``action`` is keep, relabel or merge (a merged turn goes on
+    of one number go by a hash of role and text; a null number comes first, a null conv_id
+    is a conversation of its own. ``action`` is keep, relabel or merge (a merged turn goes on
     with the one before, relabelled or not); ``inserted`` names the empty turns put in
-    before it. A conversation's ``rendered`` pieces, joined in the order of turn, role
-    and text, are the repaired conversation; its last row also closes it. Null and empty
+    before it. A conversation's ``rendered`` pieces, joined in the order of turn and
+    ``order`` (the hash), are the repaired conversation; its last row also closes it. Null and empty
     texts are turns with no text; marks within texts are broken up. Unknown roles cost
-    less to relabel than known ones. An empty table gives an empty result. Other
+    less to relabel than known ones. A long conversation, or many rows of one turn number,
+    are cut into blocks; a very long text is one row of its task. An empty table gives an empty result. Other
     columns are left out, whatever their names.
     """
     plain = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").distinct()
-    rows = cut(plain.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 40)))))
-    order: list[Column | str] = [F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()]
+    rows = with_blocks(plain)
+    order: list[Column | str] = [F.col("turn").asc_nulls_first(), "h", F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()]
     conv = dict((f.name, f) for f in rows.schema)["conv_id"].dataType
     conv_pa = pa.int64() if conv.typeName() == "long" else pa.int32() if conv.typeName() == "integer" else pa.string()
 
@@ -146,7 +171,7 @@ def repair(turns: DataFrame) -> DataFrame:
         return [{"conv_id": group[0]["conv_id"], "block": group[0]["block"], "m": block_matrix([role_code(r["role"]) for r in group])}]
 
     blocks = streamed(
-        rows, order, matrix, pa.schema([("conv_id", conv_pa), ("block", pa.int64()), ("m", pa.list_(pa.int64()))]), f"conv_id {conv.simpleString()}, block bigint, m array<bigint>",
+        rows, order, matrix, pa.schema([("conv_id", conv_pa), ("block", _KEY_PA), ("m", pa.list_(pa.int64()))]), f"conv_id {conv.simpleString()}, block {_KEY}, m array<bigint>",
     )
 
     @F.arrow_udf("array<array<int>>")
@@ -166,12 +191,12 @@ def repair(turns: DataFrame) -> DataFrame:
             gap, merge = GAPS[at, to] or [], at == to
             start = GLUE if merge else (CLOSE if at != START else "") + empty_turns(gap) + f"{OPEN}{ROLES[to]}\n"
             action = "merge" if merge else "keep" if code == to else "relabel"
-            out.append({"conv_id": r["conv_id"], "turn": r["turn"], "role": r["role"], "action": action, "new_role": ROLES[to], "inserted": [ROLES[g] for g in gap], "rendered": start + safe(r["text"])})
+            out.append({"conv_id": r["conv_id"], "turn": r["turn"], "order": r["h"], "role": r["role"], "action": action, "new_role": ROLES[to], "inserted": [ROLES[g] for g in gap], "rendered": start + safe(r["text"])})
             at = to
         if group[0]["closes"]:
             out[-1]["rendered"] += CLOSE + empty_turns(ENDS[at])
         return out
 
-    schema = pa.schema([("conv_id", conv_pa), ("turn", pa.int64()), ("role", pa.string()), ("action", pa.string()), ("new_role", pa.string()), ("inserted", pa.list_(pa.string())), ("rendered", pa.string())])
-    return streamed(joined, order, render, schema, f"conv_id {conv.simpleString()}, turn bigint, role string, action string, new_role string, inserted array<string>, rendered string")
+    schema = pa.schema([("conv_id", conv_pa), ("turn", pa.int64()), ("order", pa.int64()), ("role", pa.string()), ("action", pa.string()), ("new_role", pa.string()), ("inserted", pa.list_(pa.string())), ("rendered", pa.string())])
+    return streamed(joined, order, render, schema, f"conv_id {conv.simpleString()}, turn bigint, order bigint, role string, action string, new_role string, inserted array<string>, rendered string")
 
