@@ -25,8 +25,8 @@ from .common import column, parts, slices
 
 #: One paragraph in so many ends a section.
 SECTION = 8
-#: Ranges of ids for each shuffle partition.
-RANGES = 4
+#: Ranges of ids for each shuffle partition; rows of one id (or of none) from which its range is split by the texts' hashes.
+RANGES, SPLIT = 4, 20_000
 
 
 @dataclass
@@ -69,12 +69,12 @@ def tree(text: str | None) -> Tree:
             sizes.append(end - start)
             start = end
         pieces += own
-        paragraphs.append(h := digest(line))
+        paragraphs.append(h := hashlib.blake2b(line, digest_size=16).digest())
         paragraph_ends.append(len(pieces))
         if not line.strip() or h[0] % SECTION == 0:
             close()
     close()
-    # the root is a cryptographic hash: equality of texts rests on it
+    # paragraphs and root are cryptographic hashes: equality of texts rests on them
     node = hashlib.sha256(b"\x02")
     for s, e0, e1 in zip(sections, [0, *section_ends], section_ends, strict=False):
         node.update(hashlib.blake2b(s + b"".join(paragraphs[e0:e1]), digest_size=16).digest())
@@ -133,35 +133,60 @@ def edited_text(text: str, following: str) -> str:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """(grp, pos, doc_id, text): ranges of ascending ids, each followed by a copy of the next range's first row.
+    """(grp, pos, doc_id, h, text): ranges of ascending ids, each followed by a copy of the next range's first row.
 
     The ranges' borders are quantiles of the ids, as many as the session's shuffle
-    partitions ask for; only these and each range's smallest id reach the driver.
-    Null ids come last. The last row is followed by the first one.
+    partitions ask for; only these and each range's count and ends reach the driver. An
+    id that holds many rows is a range of its own, split by the hash ``h`` of the texts,
+    and so are the rows without an id, which come last. The last row is followed by the
+    first one.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
     n = RANGES * parts(docs)
-    borders = np.array(sorted(set(rows.stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (2 * n)))), np.int64)
+    quantiles = {int(q) for q in rows.stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (2 * n))}
+    borders = np.array(sorted(quantiles | {q + 1 for q in quantiles}), np.int64)
 
-    def group(ids: pa.Array) -> np.ndarray:  # null ids form a range of their own after all others
+    def base(ids: pa.Array) -> np.ndarray:  # rows without an id form a range of their own after all others
         at = np.searchsorted(borders, ids.fill_null(0).to_numpy(zero_copy_only=False), "right")
         return np.where(ids.is_null().to_numpy(zero_copy_only=False), len(borders) + 1, at)
 
     @F.arrow_udf("int")
-    def range_of(ids: pa.Array) -> pa.Array:
-        return pa.array(group(ids), pa.int32())
+    def base_of(ids: pa.Array) -> pa.Array:
+        return pa.array(base(ids), pa.int32())
+
+    ends = docs.select(F.col("doc_id").cast("long").alias("doc_id")).groupBy(base_of("doc_id").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).collect()
+    pieces = np.ones(len(borders) + 2, np.int64)
+    for r in ends:
+        if r["lo"] == r["hi"]:
+            pieces[r["b"]] = -(-r["n"] // SPLIT)
+    start = np.concatenate([[0], np.cumsum(pieces)])
+
+    def group(ids: pa.Array, h: pa.Array) -> np.ndarray:
+        b = base(ids)
+        share = h.to_numpy(zero_copy_only=False).astype(np.float64) / 2.0**64 + 0.5
+        return start[b] + np.minimum((share * pieces[b]).astype(np.int64), pieces[b] - 1)
+
+    @F.arrow_udf("int")
+    def group_of(ids: pa.Array, h: pa.Array) -> pa.Array:
+        return pa.array(group(ids, h), pa.int32())
 
-    lows = rows.groupBy(range_of("doc_id").alias("grp")).agg(F.min("doc_id").alias("lo")).collect()
-    lows = sorted((r["grp"], r["lo"]) for r in lows)
     # a range's first row also follows the range before it, the very first row the last one
-    goes_to = {lo: lows[i - 1][0] for i, (_, lo) in enumerate(lows)}
+    firsts = [(int(start[r["b"]]), r["lo"], None) for r in ends if pieces[r["b"]] == 1]
+    if split := [r["b"] for r in ends if pieces[r["b"]] > 1]:
+        some = rows.filter(base_of("doc_id").isin(split)).groupBy(group_of("doc_id", "h").alias("grp"), "doc_id").agg(F.min("h").alias("h")).collect()
+        firsts += [(r["grp"], r["doc_id"], r["h"]) for r in some]
+    firsts.sort(key=lambda x: x[0])
+    goes_to = {(i, h): firsts[k - 1][0] for k, (_, i, h) in enumerate(firsts)}
 
     @F.arrow_udf("array<int>")
-    def places(ids: pa.Array) -> pa.Array:
-        out = [[g, goes_to[i]] if i in goes_to else [g] for g, i in zip(group(ids).tolist(), ids.to_pylist(), strict=True)]
+    def places(ids: pa.Array, h: pa.Array) -> pa.Array:
+        out = []
+        for g, i, x in zip(group(ids, h).tolist(), ids.to_pylist(), h.to_pylist(), strict=True):
+            to = goes_to.get((i, None), goes_to.get((i, x)))
+            out.append([g] if to is None else [g, to])
         return pa.array(out, pa.list_(pa.int32()))
 
-    return rows.select("doc_id", "text", F.posexplode(places("doc_id")).alias("pos", "grp"))
+    return rows.select("doc_id", "h", "text", F.posexplode(places("doc_id", "h")).alias("pos", "grp"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -170,11 +195,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next, n_paragraphs, edited_paragraphs (positions in the text of
     the paragraphs that the edit touched). Null is the empty text. Rows that repeat a
-    doc_id follow each other by text; rows without doc_id come last, by text. A single
-    row is its own next. Two empty texts have likeness 1. An empty table gives an
-    empty result. Other columns are left out, whatever their names.
+    doc_id follow each other by the hash of the text, then by text; rows without doc_id
+    come last, by the same order. A single row is its own next. Two empty texts have
+    likeness 1. A very long text, line or word is one row of its task. An empty table
+    gives an empty result. Other columns are left out, whatever their names.
     """
-    rows = with_next(docs).repartition(parts(docs) * 2, "grp").sortWithinPartitions("grp", "pos", F.col("doc_id").isNull(), "doc_id", "text")
+    rows = with_next(docs).repartition(parts(docs) * 2, "grp").sortWithinPartitions("grp", "pos", F.col("doc_id").isNull(), "doc_id", "h", "text")
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_paragraphs", "edited_paragraphs"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int32())]
 
