@@ -1,11 +1,11 @@
 """Quality classifier: votes of nearest neighbours in a latent-semantic space.
 
-A text becomes a bag of terms that show how it is written: the shapes of its words
-(runs of upper case, lower case, digits, signs), pairs of shapes, words that repeat
-the word before, lines and words that come again. A bounded labelled sample gives
-tf-idf weights and, by a singular value decomposition, the latent space. The sample's
-vectors are broadcast (MAX_PER_LABEL * 2 rows of DIMENSIONS floats); every document
-is compared with all of them, block by block, exactly; the K nearest vote by similarity.
+A text becomes a bag of hashed terms: its words, the shapes of its words (runs of upper
+case, lower case, digits, signs), pairs of shapes, and marks of how often words and lines
+come again. A bounded labelled sample gives tf-idf weights and, by a singular value
+decomposition, the latent space. The sample's vectors are broadcast (MAX_PER_LABEL * 2
+rows of DIMENSIONS floats); every document is compared with all of them, block by block,
+exactly; the K nearest vote by similarity.
 """
 
 from __future__ import annotations
@@ -23,9 +23,12 @@ from pyspark.sql import functions as F
 from .common import arrow_map, column, remainder, texts
 from .toxicity import sample_labelled
 
-#: Bounds: labelled documents for each label, hashed terms, dimensions of the latent space; voters.
+#: Bounds: labelled documents for each label, hashed shapes and words, dimensions of the latent space; voters.
 MAX_PER_LABEL = 1500
-TERMS = 4096
+SHAPES, WORDS, MARKS = 4032, 8192, 64
+TERMS = 1 + SHAPES + WORDS + MARKS
+#: What a word counts beside a shape.
+WORD_WEIGHT = 0.1
 DIMENSIONS = 48
 K = 15
 BLOCK = 256
@@ -61,7 +64,9 @@ def bag(text: bytes) -> dict[int, float]:
         return {0: 1.0}
     c = Counter(shape)
     c.update(x + b" " + y for x, y in zip(shape, shape[1:], strict=False))
-    out = {1 + xxhash.xxh3_64_intdigest(t) % (TERMS - 64): math.log1p(100 * k / n) for t, k in c.items()}
+    out = {1 + xxhash.xxh3_64_intdigest(t) % SHAPES: math.log1p(100 * k / n) for t, k in c.items()}
+    for w, k in Counter(words).items():
+        out[1 + SHAPES + xxhash.xxh3_64_intdigest(w) % WORDS] = WORD_WEIGHT * math.log1p(100 * k / n)
     lines = text.split(b"\n")
     marks = (
         sum(map(bytes.__eq__, words, words[1:])) / n,
@@ -72,7 +77,7 @@ def bag(text: bytes) -> dict[int, float]:
         sum(w[-1:] in b".!?" for w in words) / n,
     )
     for i, m in enumerate(marks):
-        out[TERMS - 32 + i] = math.log1p(100 * m)
+        out[TERMS - MARKS + i] = math.log1p(100 * m)
     return out
 
 
@@ -87,6 +92,15 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
+def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """The positions of each row's ``k`` largest values, of equal ones the first."""
+    near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(cosine, near, 1).min(1)
+    for i in np.flatnonzero((cosine >= least[:, None]).sum(1) > k):  # ties at the border
+        near[i] = np.argsort(-cosine[i], kind="stable")[:k]
+    return near
+
+
 @dataclass
 class Neighbours:
     """The latent space (idf weights and basis) and the labelled vectors in it."""
@@ -107,7 +121,7 @@ class Neighbours:
         out, k = [], min(k, len(self.vectors))
         for i in range(0, len(bags), BLOCK):
             cosine = self.project(bags[i : i + BLOCK]) @ self.vectors.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+            near = nearest(cosine, k)
             weight = np.clip(np.take_along_axis(cosine, near, 1).astype(np.float64), 1e-3, 1) ** 8
             out.append((weight * self.labels[near]).sum(1) / weight.sum(1))
         return np.clip(np.concatenate(out), 0, 1)
@@ -132,10 +146,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = MAX_PER_LABEL, dime
     bags = [dict(zip(r["terms"], r["values"], strict=True)) for r in rows]
     x = matrix(bags)
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 0.1
-    used = np.flatnonzero((x > 0).any(0))
-    values, vectors = np.linalg.eigh((u := unit(x * idf)[:, used]).T.astype(np.float64) @ u)
-    basis = np.zeros((TERMS, min(dimensions, len(used))), np.float32)
-    basis[used] = vectors[:, np.argsort(-values)[: basis.shape[1]]]
+    # singular vectors by way of the documents' products, a table of the sample's size squared
+    u = unit(x * idf).astype(np.float64)
+    values, vectors = np.linalg.eigh(u @ u.T)
+    top = [i for i in np.argsort(-values)[:dimensions] if values[i] > 1e-9]
+    basis = (u.T @ vectors[:, top] / np.sqrt(values[top])).astype(np.float32)
     y = np.array([float(r["label"]) for r in rows])
     out = Neighbours(idf, basis, np.zeros((0, 1)), y, float(y.mean()))
     out.vectors = out.project(bags)
@@ -146,9 +161,10 @@ def quality(docs: DataFrame, space: Neighbours, threshold: float = 0.3, k: int =
     """Score every document: doc_id, score (0 to 1), predicted (1 if at least ``threshold``).
 
     Null and empty texts are a bag of one own term and get their neighbours' votes.
-    Repeated rows and rows without doc_id are scored like any other. An empty table
-    gives an empty result; without labelled rows every score is 0.5. Other columns
-    are left out, whatever their names.
+    Repeated rows and rows without doc_id are scored like any other. A very long text
+    is one bag, a very long word one term. Of neighbours equally near, those first in
+    the sample's hash order vote. An empty table gives an empty result; without
+    labelled rows every score is 0.5. Other columns are left out, whatever their names.
     """
 
     def step(batch: pa.RecordBatch) -> dict:
