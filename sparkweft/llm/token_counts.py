@@ -15,6 +15,7 @@ from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,12 +38,18 @@ def encoder(path: str):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def shipped(docs: DataFrame, folder: str, vocabulary: str) -> str:
+    """Send the rank file to all executors with the job; returns the name by which tasks find it."""
+    docs.sparkSession.sparkContext.addFile(f"{folder}/{vocabulary}")
+    return vocabulary
+
+
 def token_counts(docs: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, n_tokens) of every whole text; null is empty and has 0 tokens."""
-    path = f"{folder}/{vocabulary}"
+    """(doc_id, n_tokens) of every whole text, however long, encoded in one piece; null is empty and has 0 tokens."""
+    path = shipped(docs, folder, vocabulary)
 
     def step(batch: pa.RecordBatch) -> dict:
-        encode = encoder(path).encode_ordinary
+        encode = encoder(SparkFiles.get(path)).encode_ordinary
         return {"doc_id": column(batch, "doc_id"), "n_tokens": pa.array([len(encode(t)) if t else 0 for t in column(batch, "text").to_pylist()], pa.int64())}
 
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), step, "doc_id long, n_tokens long")
@@ -50,10 +57,10 @@ def token_counts(docs: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VO
 
 def lengths(docs: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """(n_tokens, n): partial counts of encoded lengths, one row for each length and slice."""
-    path = f"{folder}/{vocabulary}"
+    path = shipped(docs, folder, vocabulary)
 
     def step(batch: pa.RecordBatch) -> dict:
-        encode = encoder(path).encode_ordinary
+        encode = encoder(SparkFiles.get(path)).encode_ordinary
         c = Counter(len(encode(t)) if t else 0 for t in column(batch, "text").to_pylist())
         return {"n_tokens": pa.array(list(c), pa.int64()), "n": pa.array(list(c.values()), pa.int64())}
 
@@ -90,7 +97,7 @@ def length_histogram(counts: DataFrame) -> DataFrame:
 
 
 def token_histogram(docs: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """:func:`length_histogram` of the documents. Null and empty texts have length 0; repeated rows count each."""
+    """:func:`length_histogram` of the documents. Null and empty texts have length 0; repeated rows count each, rows without doc_id too."""
     return length_histogram(lengths(docs, folder, vocabulary))
 
 
