@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..constants import ROOT
 from ..functions.versions import compare_keys, parse_version
-from ..session import cut
+from ..session import counted, cut
 
 P = "project_id"
 
@@ -78,11 +78,10 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def _trim(edges: DataFrame) -> DataFrame:
     """Peel off edges into nodes without a way on, and out of nodes without a way in, until none is left to peel."""
-    left = edges.count()
+    edges, left = counted(edges)
     while left:
         srcs, dsts = edges.select(P, F.col("src").alias("dst")).distinct(), edges.select(P, F.col("dst").alias("src")).distinct()
-        edges = cut(edges.join(srcs, [P, "dst"], "left_semi").join(dsts, [P, "src"], "left_semi").select(P, "src", "dst"))
-        now = edges.count()
+        edges, now = counted(edges.join(srcs, [P, "dst"], "left_semi").join(dsts, [P, "src"], "left_semi").select(P, "src", "dst"))
         if now == left:
             break
         left = now
@@ -115,15 +114,15 @@ def scc(edges: DataFrame) -> DataFrame:
         reached = frontier = cut(colour.filter("node = colour"))
         while True:
             new = inside.join(frontier.withColumnRenamed("node", "dst"), [P, "dst", "colour"]).select(P, F.col("src").alias("node"), "colour").distinct()
-            frontier = cut(new.join(reached, [P, "node"], "left_anti"))
-            if frontier.isEmpty():
+            frontier, n = counted(new.join(reached, [P, "node"], "left_anti"))
+            if not n:
                 break
             reached = reached.unionByName(frontier)
         reached = cut(reached)
         found = reached if found is None else found.unionByName(reached)
         gone = reached.select(P, "node")
         rest = rest.join(gone.withColumnRenamed("node", "src"), [P, "src"], "left_anti").join(gone.withColumnRenamed("node", "dst"), [P, "dst"], "left_anti")
-        rest = _trim(cut(rest.select(P, "src", "dst")))
+        rest = _trim(rest.select(P, "src", "dst"))
     if found is None:
         return nodes.withColumn("scc_id", F.col("node"))
     return nodes.join(found, [P, "node"], "left").select(P, "node", F.coalesce("colour", "node").alias("scc_id"))
@@ -144,16 +143,16 @@ def topological_levels(edges: DataFrame) -> DataFrame:
     Nodes are peeled off level by level. Edges on cycles are never peeled: their nodes
     and those behind them come last, on one level after all others.
     """
-    left = cut(edges.select(P, "src", "dst").distinct())
+    left, more = counted(edges.select(P, "src", "dst").distinct())
     nodes = left.select(P, F.col("src").alias("node")).unionByName(left.select(P, F.col("dst").alias("node"))).distinct()
     levels, level = None, 0
-    while not left.isEmpty():
+    while more:
         free = left.select(P, F.col("src").alias("node")).distinct().join(left.select(P, F.col("dst").alias("node")).distinct(), [P, "node"], "left_anti")
-        free = cut(free.withColumn("level", F.lit(level)))
-        if free.isEmpty():
+        free, n = counted(free.withColumn("level", F.lit(level)))
+        if not n:
             break
         levels = free if levels is None else levels.unionByName(free)
-        left = cut(left.join(free.select(P, F.col("node").alias("src")), [P, "src"], "left_anti").select(P, "src", "dst"))
+        left, more = counted(left.join(free.select(P, F.col("node").alias("src")), [P, "src"], "left_anti").select(P, "src", "dst"))
         level += 1
     if levels is None:
         levels = nodes.limit(0).withColumn("level", F.lit(0))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import MAX_PATH_NODES, MAX_PATHS, UNREACHABLE
 from ..functions.scores import exploit_score
-from ..session import cut, if_small
+from ..session import counted, cut, if_small
 
 P = "project_id"
 
@@ -29,8 +29,8 @@ def reachable(edges: DataFrame, seeds: DataFrame, direction: str = "down", max_h
         new = frontier.join(steps, [P, "at"]).filter("to <> source").select(P, "source", F.col("to").alias("node")).distinct()
         if seen is not None:
             new = new.join(seen, [P, "source", "node"], "left_anti")
-        new = cut(new.withColumn("hops", F.lit(hops)))
-        if hops > 1 and new.isEmpty():
+        new, n = counted(new.withColumn("hops", F.lit(hops)))
+        if hops > 1 and not n:
             break
         seen = new if seen is None else seen.unionByName(new)
         frontier = new.select(P, "source", F.col("node").alias("at"))
@@ -39,12 +39,12 @@ def reachable(edges: DataFrame, seeds: DataFrame, direction: str = "down", max_h
 
 def hops_to(edges: DataFrame, targets: DataFrame, most: int) -> DataFrame:
     """(project_id, node, hops): the fewest steps, up to ``most``, from each node to any target (project_id, node); 0 for targets."""
-    frontier = cut(targets.select(P, "node").distinct().withColumn("hops", F.lit(0)))
+    frontier, n = counted(targets.select(P, "node").distinct().withColumn("hops", F.lit(0)))
     seen, hops = frontier, 0
-    while hops < most and not frontier.isEmpty():
+    while hops < most and n:
         hops += 1
         new = edges.join(frontier.select(P, F.col("node").alias("dst")), [P, "dst"]).select(P, F.col("src").alias("node")).distinct()
-        frontier = cut(new.join(seen, [P, "node"], "left_anti").withColumn("hops", F.lit(hops)))
+        frontier, n = counted(new.join(seen, [P, "node"], "left_anti").withColumn("hops", F.lit(hops)))
         seen = seen.unionByName(frontier)
     return seen
 
@@ -79,13 +79,13 @@ def attack_paths(edges: DataFrame, blast: DataFrame, sinks: DataFrame, max_nodes
         if not simple_paths:
             smallest = Window.partitionBy(P, "source", "at").orderBy("path")
             nxt = nxt.withColumn("__n", F.row_number().over(smallest)).filter(F.col("__n") <= top).drop("__n")
-        nxt = cut(nxt)
+        nxt, found = counted(nxt)
         done = nxt.filter("sink_type IS NOT NULL")
         ended = done if ended is None else ended.unionByName(done)
         full = ended.groupBy(P, "source").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= top).select(P, "source")
-        walk = cut(nxt.filter("sink_type IS NULL").drop("sink_type").join(full, [P, "source"], "left_anti"))
-        if walk.isEmpty():
+        if not found:
             break
+        walk = nxt.filter("sink_type IS NULL").drop("sink_type").join(full, [P, "source"], "left_anti")
     entered = edges.select(P, F.col("dst").alias("source")).distinct().withColumn("entered", F.lit(True))
     scored = ended.join(blast.select(P, F.col("source_node").alias("source"), "cvss_score", "multiplier"), [P, "source"]).join(entered, [P, "source"], "left")
     n = F.size("path")
@@ -112,8 +112,8 @@ def metric_closure(edges: DataFrame, terminals: DataFrame, max_hops: int | None
     while max_hops is None or hops < max_hops:
         hops += 1
         new = frontier.withColumnRenamed("node", "at").join(both, [P, "at"]).groupBy(P, "u", F.col("to").alias("node")).agg(F.min(F.concat("path", F.array("to"))).alias("path"))
-        frontier = cut(new.join(seen.select(P, "u", "node"), [P, "u", "node"], "left_anti"))
-        if frontier.isEmpty():
+        frontier, n = counted(new.join(seen.select(P, "u", "node"), [P, "u", "node"], "left_anti"))
+        if not n:
             break
         seen = seen.unionByName(frontier)
     pairs = terminals.select(P, F.col("node").alias("u")).join(terminals.select(P, F.col("node").alias("v")), P).filter("u < v")
@@ -132,8 +132,8 @@ def mst(closure: DataFrame) -> DataFrame:
         side = lambda k: label.select(P, F.col("node").alias(k), F.col("c").alias(f"c{k}"))
         cross = pairs.join(side("u"), [P, "u"]).join(side("v"), [P, "v"]).filter("cu <> cv")
         ends = cross.select(P, F.col("cu").alias("c"), "u", "v", "weight", "cu", "cv").unionByName(cross.select(P, F.col("cv").alias("c"), "u", "v", "weight", "cu", "cv"))
-        best = cut(ends.groupBy(P, "c").agg(F.min(F.struct("weight", "u", "v", "cu", "cv")).alias("__edge")).select(P, "__edge.*").distinct())
-        if best.isEmpty():
+        best, n = counted(ends.groupBy(P, "c").agg(F.min(F.struct("weight", "u", "v", "cu", "cv")).alias("__edge")).select(P, "__edge.*").distinct())
+        if not n:
             break
         own = best.select(P, "u", "v", "weight")
         tree = own if tree is None else tree.unionByName(own)

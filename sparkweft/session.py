@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a counted side is broadcast (tens of bytes each).
@@ -35,6 +35,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """:func:`cut` and the number of rows, both in one job."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, seen.get["n"]
+
+
 def if_small(df: DataFrame, most: int = SMALL) -> DataFrame:
     """The table, broadcast in joins if it has at most ``most`` rows; a larger one is shuffled."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
