@@ -60,3 +60,34 @@ def test_stages(spark, folder, tmp_path):
     before, after = seen["mixing"]
     assert ids(after) <= ids(before) and abs(sum(len(t.split()) for _, t in after) / sum(len(t.split()) for _, t in before) - 1.5) < 0.1
     assert sorted(map(str, after)) == sorted(str((r.doc_id, r.text)) for r in corpus_pipeline.run(spark, out).collect())
+
+
+def test_stages_on_messy_rows(spark, folder, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows and ids, clashing names: each stage's defined result."""
+    out, rows, _, item = folder
+    schema = "doc_id long, text string, lang string, source string, n_chars long, copy string, score double, row string, __kept boolean"
+    long_word, long_text = "x" * 1_200_000, " ".join(f"w{i % 977}q{i % 31}" for i in range(30_000))
+    messy = [  # ids without labels
+        (1001, rows[7][1]), (1001, rows[7][1]), (1001, rows[8][1]), (None, rows[9][1]), (None, None), (1002, None), (1003, ""), (1004, " \n "), (1005, long_word), (1006, long_text), (1006, long_text), (1007, rows[7][1]),
+        (1008, f"{rows[10][1]} {item}"), (None, f"{rows[11][1]} {item}"), (1009, "vilewort grubnik"), (None, "grubnik vilewort grubnik"),
+    ]
+    docs = spark.createDataFrame([(i, t, None, None if k % 3 else "s", None, "clash", None, None, None) for k, (i, t) in enumerate(messy)], schema)
+    learned = spark.createDataFrame([(i, t, None, None, None, "clash", None, None, None) for i, t, *_ in rows if i not in dict(messy)], schema)
+    key = lambda df: sorted((str(r.doc_id), r.text or "") for r in df.collect())
+    every = key(docs)
+    left = {name: stage(spark, docs, out) for name, stage in corpus_pipeline.STAGES}
+    for name, df in left.items():
+        assert df.columns == (docs.columns if name != "mixing" else [c for c in docs.columns if c != "copy"] + ["copy"])
+    toxic = {("1009", "vilewort grubnik"), ("None", "grubnik vilewort grubnik")}
+    with_labels = corpus_pipeline.reject_toxic(spark, docs.unionByName(learned), out).filter("doc_id IS NULL OR doc_id >= 1000")
+    assert key(with_labels) == [x for x in every if x not in toxic]
+    assert key(left["toxicity"]) == every  # none of these rows has a label: nothing is learned, nothing goes
+    assert key(left["line_dedup"]) == every
+    gone = [x for x in every if x[0] == "1007" and x[1] == rows[7][1]]
+    assert key(left["near_dedup"]) == [x for x in every if x not in gone]
+    assert key(left["decontamination"]) == [x for x in every if item not in x[1]]
+    sizes = {(str(i), t or ""): len((t or "").split()) for i, t in messy}
+    mixed = left["mixing"].collect()
+    assert all(r.copy >= 1 for r in mixed) and sum(sizes[str(r.doc_id), r.text or ""] for r in mixed) > sum(len((t or "").split()) for _, t in messy)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), out).count() == 0, name
