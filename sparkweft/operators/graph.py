@@ -25,12 +25,18 @@ class Graph:
     edges: DataFrame
 
 
-def resolve_nodes(deps: DataFrame) -> DataFrame:
+def resolve_nodes(deps: DataFrame, prefer_resolved: bool = False) -> DataFrame:
     """One row per (project_id, name): the highest version wins, of equal ones the first by ``seq``.
 
+    With ``prefer_resolved`` a package that has installed versions (column ``resolved``)
+    goes by these alone; a version that is only asked for can't outrank them.
+
     Comparison isn't transitive, so the rows of a name are folded in their order;
     equal candidates are dropped first (a fold keeps the first of them anyway).
     """
+    if prefer_resolved:
+        best = F.max("resolved").over(Window.partitionBy(P, "name"))
+        deps = deps.withColumn("__best", best).filter(F.col("resolved").eqNullSafe(F.col("__best"))).drop("__best")
     first = deps.groupBy(P, "name", "version").agg(F.min_by(F.struct("seq", "ecosystem", "is_direct", "is_dev"), "seq").alias("d"))
     one = F.struct(F.col("d.seq").alias("seq"), "version", parse_version(F.col("version")).alias("key"), F.col("d.ecosystem").alias("ecosystem"), F.col("d.is_direct").alias("is_direct"), F.col("d.is_dev").alias("is_dev"))
     folded = first.groupBy(P, "name").agg(F.sort_array(F.collect_list(one)).alias("c"))

@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from sparkweft.operators import graph
 from sparkweft.sources import cve_feed, manifests
 
 FILES = {
@@ -60,6 +61,13 @@ def test_lock_version_1_knows_direct_packages_and_keeps_the_order(spark):
     assert [(r["seq"], r["name"], r["is_direct"]) for r in got] == [(1, "b", True), (2, "y", True), (3, "x", False), (4, "a", False)]
 
 
+def test_installed_versions_can_be_preferred(spark):
+    lock = {"lockfileVersion": 2, "packages": {"": {"dependencies": {"a": "^1"}}, "node_modules/a": {"version": "1.2.0", "dependencies": {"b": "~9"}}, "node_modules/b": {"version": "2.1.0"}}}
+    deps = manifests.load_manifests(manifest(spark, "package-lock.json", json.dumps(lock)))
+    version = lambda **kw: {r["name"]: r["version"] for r in graph.resolve_nodes(deps, **kw).collect()}
+    assert version() == {"a": "1.2.0", "b": "9"} and version(prefer_resolved=True) == {"a": "1.2.0", "b": "2.1.0"}
+
+
 def test_lock_of_many_packages(spark):
     lock = {"lockfileVersion": 3, "packages": {"": {"dependencies": {"p0": "1"}}} | {f"node_modules/p{i}": {"version": f"{i}.0", "dependencies": {"q": "1"}} for i in range(200_000)}}
     got = manifests.load_manifests(manifest(spark, "package-lock.json", json.dumps(lock)))
