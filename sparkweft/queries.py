@@ -323,7 +323,22 @@ def closure_mst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reach.mst(reach.metric_closure(p.edges, patchset.terminals(p.blast))).select(P, "u", "v", "weight")
 
 
-@query
+_CANDIDATES = (
+    ", und AS (SELECT project_id, src AS a, dst AS b FROM edges_p UNION SELECT project_id, dst, src FROM edges_p)"
+    ", bfs(project_id, u, node, d, path) USING KEY (project_id, u, node) AS (SELECT project_id, node, node, 0, [node] FROM terms UNION SELECT b.project_id, b.u, n.b, min(b.d) + 1, min(list_append(b.path, n.b)) FROM bfs b JOIN und n ON n.project_id = b.project_id AND n.a = b.node LEFT JOIN recurring.bfs r ON r.project_id = b.project_id AND r.u = b.u AND r.node = n.b WHERE r.d IS NULL GROUP BY b.project_id, b.u, n.b)"
+    ", clo AS (SELECT x.project_id, x.node AS u, y.node AS v, coalesce(d.d, 1000) AS weight, d.path FROM terms x JOIN terms y ON x.project_id = y.project_id AND x.node < y.node LEFT JOIN bfs d ON d.project_id = x.project_id AND d.u = x.node AND d.node = y.node)"
+    ", numbered AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY weight, u, v) AS k FROM clo), both_ways AS (SELECT project_id, u AS a, v AS b, k FROM numbered UNION ALL SELECT project_id, v, u, k FROM numbered)"
+    ", tree AS (SELECT m.project_id, m.path FROM numbered m WHERE NOT EXISTS (WITH RECURSIVE r AS (SELECT m.u AS n UNION SELECT w.b FROM r JOIN both_ways w ON w.project_id = m.project_id AND w.a = r.n AND w.k < m.k) SELECT 1 FROM r WHERE r.n = m.v))"
+    ", cand AS (SELECT project_id, node FROM terms UNION SELECT project_id, unnest(path) FROM tree WHERE path IS NOT NULL)"
+)
+
+
+@query(
+    sql=_ALL + f", {_VULN}{_BLAST}{_PATHS}{_TERMS}{_CANDIDATES}"
+    ", nn AS (SELECT DISTINCT project_id, source, rank, unnest(path) AS package FROM best), onp AS (SELECT n.* FROM nn n JOIN cand t ON t.project_id = n.project_id AND t.node = n.package), cv AS (SELECT project_id, package, count(*) AS covered FROM onp GROUP BY ALL)"
+    ", first AS (SELECT o.project_id, o.source, o.rank, arg_min(o.package, (-c.covered, o.package)) AS package FROM onp o JOIN cv c USING (project_id, package) GROUP BY ALL), full_ AS (SELECT project_id FROM (SELECT DISTINCT project_id, source, rank FROM nn) n LEFT JOIN first f USING (project_id, source, rank) GROUP BY project_id HAVING count(*) = count(f.package))"
+    ", kept AS (SELECT DISTINCT project_id, package FROM first UNION SELECT project_id, node FROM terms WHERE project_id NOT IN (SELECT project_id FROM full_)) SELECT k.project_id, k.package, coalesce(c.covered, 0) AS covered FROM kept k LEFT JOIN cv c USING (project_id, package)"
+)
 def patch_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cover with the terminals and the packages between them as candidates."""
     p = Portfolio.of(spark, sf_dir)
