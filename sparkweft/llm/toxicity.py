@@ -1,18 +1,20 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick on folded text, normalised by length.
 
-Text is folded first: lower case, letters that look Latin become Latin, digits and
-signs before a letter inside a word become the letters they stand for, punctuation
-becomes a space. The lexicon holds words and beginnings of words with log-odds
-weights, learned from a bounded sample of labelled documents; phrases on the
-exception list excuse the matches inside them. One automaton finds all of them in
-one pass over a text. A document's score is a logistic function of the weights
-found, as a sum and by length.
+Text is folded first: compatibility forms and accents go (NFKD), lower case, letters
+that look Latin become Latin, digits and signs next to a letter become the letters they
+stand for, punctuation becomes a space. The lexicon holds words and beginnings of words
+with log-odds weights, learned from a bounded sample of labelled documents. Exception
+phrases excuse the matches inside them: a given list, and pairs of words around a match
+that the sample has in clean documents only. One automaton finds all of them in one
+pass over a text. A document's score is a logistic function of the weights found, as a
+sum and by length.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -24,19 +26,24 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, column, cut, remainder
 
-#: Bound of the labelled sample, for each label; of the lexicon; of the support a term needs.
+#: Bound of the labelled sample, for each label; the support a term needs and its least weight.
 MAX_PER_LABEL = 6000
-MAX_TERMS = 4000
 MIN_TOXIC = 4
 MIN_ODDS = 2.5
 PREFIXES = range(3, 9)
+#: A longer word, in bytes, is known by its beginnings alone.
+LONGEST = 64
+#: A pair of words around a match excuses it if so many clean documents hold it and no toxic one.
+MIN_CLEAN = 5
+#: Phrases that are always exceptions, besides the learned ones.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "idiot proof", "sore loser", "scum line", "stupid simple")
 
-# Letters of other scripts, and wide forms, that look like Latin ones.
-HOMOGLYPHS = str.maketrans("абвгеёзікмнорстухуѕјԁһӏαβεικνορτυχ", "abbreeeikmhopctyxysjdhlabeikvoptux") | {0xFF21 + i: chr(97 + i) for i in range(26)} | {0xFF41 + i: chr(97 + i) for i in range(26)} | {0x200B: None, 0x200C: None, 0x200D: None, 0xAD: None}
-_ODD = re.compile("[" + "".join(chr(c) for c in HOMOGLYPHS if c > 127) + "]")
+# Letters of other scripts that look like Latin ones; NFKD has no form for them.
+HOMOGLYPHS = str.maketrans("абвгеёзікмнорстухуѕјԁһӏαβεικνορτυχɑɡıʟոսօցհɩ", "abbreeeikmhopctyxysjdhlabeikvoptuxagilnuoghi") | {0x200B: None, 0x200C: None, 0x200D: None, 0xAD: None}
+_ODD = re.compile("[" + "".join(chr(c) for c in HOMOGLYPHS) + "]")
+_MARKS = re.compile("[\u0300-\u036f\u0483-\u0487\u1ab0-\u1aff\u20d0-\u20ff]+")
 DIGITS = bytes.maketrans(b"01345789@$", b"oieastbgas")
-_MIXED = re.compile(rb"[0-9@$]+(?=[a-z])")
+_MIXED = re.compile(rb"(?<=[a-z])[0-9@$]+|[0-9@$]+(?=[a-z])")
 _LETTERS = re.compile(rb"[a-z][0-9@$]|[0-9@$][a-z]")
 #: Every byte but letters, digits, @, $ and those of longer code points becomes a space.
 _PLAIN = bytes(c if c > 127 or chr(c).isalnum() or chr(c) in "@$" else 32 for c in range(256))
@@ -45,8 +52,10 @@ _PLAIN = bytes(c if c > 127 or chr(c).isalnum() or chr(c) in "@$" else 32 for c
 def fold(text: str) -> str:
     """Folded text between spaces; a character stands for a byte of its UTF-8 form."""
     low = text.lower()
-    if not low.isascii() and _ODD.search(low):
-        low = low.translate(HOMOGLYPHS)
+    if not low.isascii():
+        low = _MARKS.sub("", unicodedata.normalize("NFKD", low)).lower()
+        if _ODD.search(low):
+            low = low.translate(HOMOGLYPHS)
     b = low.encode().translate(_PLAIN)
     if _LETTERS.search(b):
         b = _MIXED.sub(lambda m: m[0].translate(DIGITS), b)
@@ -57,8 +66,9 @@ def terms(folded: str) -> set[str]:
     """The words (with both spaces) and word beginnings (with the space before) of a folded text."""
     out = set()
     for w in set(folded.split(" ")):
-        if 3 <= len(w) <= 40:
-            out.add(f" {w} ")
+        if w:
+            if len(w) <= LONGEST:
+                out.add(f" {w} ")
             out.update(f" {w[:n]}" for n in PREFIXES if n < len(w))
     return out
 
@@ -87,9 +97,9 @@ class Lexicon:
             self._automaton = a
         return self._automaton
 
-    def features(self, text: str) -> list[float]:
-        """Constant, matched weight (log), weight by length, distinct matches, log length."""
-        folded = fold(text)
+    def matches(self, folded: str) -> list[tuple[int, int, float]]:
+        """(start, end, weight) of the terms found that no exception phrase holds; of the terms that begin at one place
+        the heaviest, of equal ones the shortest."""
         best: dict[int, tuple[float, int]] = {}
         excused = []
         a = self.automaton()
@@ -99,26 +109,34 @@ class Lexicon:
                 if w is None:
                     excused.append((start, end))
                 elif w > best.get(start, (0.0, 0))[0]:
-                    best[start] = (w, end)  # of the terms that begin with a word, the heaviest
-        hits = [(w, folded[s:e]) for s, (w, e) in best.items() if not any(x <= s and e <= y for x, y in excused)]
-        words, total = max(1, len(folded.split())), sum(w for w, _ in hits)
-        return [1.0, math.log1p(total), min(3.0, 10 * total / words), math.log1p(len({t for _, t in hits})), math.log1p(len(hits)) * math.log1p(words) / 10]
+                    best[start] = (w, end)
+        return [(s, e, w) for s, (w, e) in sorted(best.items()) if not any(x <= s and e <= y for x, y in excused)]
+
+    def features(self, text: str) -> list[float]:
+        """Constant, matched weight (log), weight by length (log), distinct matches, log length."""
+        folded = fold(text)
+        hits = self.matches(folded)
+        words, total = max(1, len(folded.split())), sum(w for _, _, w in hits)
+        distinct = len({folded[s : e + 1].strip() for s, e, _ in hits})
+        return [1.0, math.log1p(total), math.log1p(10 * total / words), math.log1p(distinct), math.log1p(len(hits)) * math.log1p(words) / 10]
 
     def score(self, text: str | None) -> float:
         return float(1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(self.features(text or ""), self.model)))))))
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, per_label: int) -> DataFrame:
-    """(text, label): labelled rows that may be learned from, at most ``per_label`` of each label, by hash order.
+    """(doc_id, text, label): labelled documents that may be learned from, at most ``per_label`` of each label, by hash order.
 
-    Only the ids are sorted; the texts come by a broadcast of these bounded ids.
+    Only the ids are sorted; the texts come by a broadcast of these bounded ids. A
+    doc_id with several rows counts once, with its smallest text.
     """
     ids = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (remainder("doc_id") != 0)).select(F.col("doc_id").alias("__id"), F.col(label).alias("label")).distinct()
     chosen = None
     for value in (0, 1):
         some = ids.filter(F.col("label") == value).orderBy(F.xxhash64("__id"), "__id").limit(per_label)
         chosen = some if chosen is None else chosen.unionByName(some)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", "text", F.col("label").cast("int").alias("label"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
+    return rows.groupBy("doc_id", F.col("label").cast("int").alias("label")).agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("doc_id", "text", "label")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40) -> np.ndarray:
@@ -134,45 +152,60 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = MAX_PER_LABEL, max_terms: int = MAX_TERMS, exceptions: tuple = EXCEPTIONS) -> Lexicon:
-    """Learn weights and model from at most ``2 * per_label`` labelled documents (crc32 of the id modulo 5 not 0)."""
-    sample = cut(sample_labelled(docs, labels, "toxic", per_label).repartition(F.col("doc_id")))
+def chosen_terms(odds: dict[str, float]) -> dict[str, float]:
+    """The terms that say something of their own: a longer one only if it says clearly more than its beginnings that are kept."""
+    kept: dict[str, float] = {}
+    for t in sorted(odds, key=lambda t: (len(t), t)):
+        if odds[t] > max((kept.get(t[:k], 0.0) for k in range(4, len(t))), default=0.0) + 0.3:
+            kept[t] = odds[t]
+    return kept
 
-    def count(batch: pa.RecordBatch) -> dict:
-        n = (Counter(), Counter())
-        for text, y in zip(column(batch, "text").to_pylist(), column(batch, "label").to_pylist(), strict=True):
-            n[y].update(terms(fold(text or "")))
-        some = list(n[1])  # terms of no toxic document need no row
-        return {"term": pa.array(some, pa.string()), "pos": pa.array([n[1][t] for t in some], pa.int64()), "neg": pa.array([n[0][t] for t in some], pa.int64())}
 
-    # what toxic documents hold is bounded by the sample; the others are counted for those terms alone
-    per = arrow_map(sample.select("text", "label"), lambda b: count(b), "term string, pos long, neg long")
-    frequent = per.groupBy("term").agg(F.sum("pos").alias("pos")).filter(F.col("pos") >= MIN_TOXIC)
-    n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    known = {r["term"]: r["pos"] for r in frequent.orderBy(F.desc("pos"), "term").limit(50 * max_terms).collect()}
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = MAX_PER_LABEL, exceptions: tuple = EXCEPTIONS) -> Lexicon:
+    """Learn weights and model from at most ``2 * per_label`` labelled documents (crc32 of the id modulo 5 not 0).
+
+    What is learned is bounded by this sample alone: every term of it that has the
+    support and the weight is a candidate.
+    """
+    sample = cut(sample_labelled(docs, labels, "toxic", per_label).repartition(F.col("doc_id")))
+
+    def both(found: dict[int, Counter], name: str) -> dict:
+        some = list(found[0].keys() | found[1].keys())
+        return {name: pa.array(some, pa.string()), "pos": pa.array([found[1][t] for t in some], pa.int64()), "neg": pa.array([found[0][t] for t in some], pa.int64())}
 
-    def clean(batch: pa.RecordBatch) -> dict:
-        c = Counter()
+    def counted(batch: pa.RecordBatch, of, name: str) -> dict:
+        found = {0: Counter(), 1: Counter()}
         for text, y in zip(column(batch, "text").to_pylist(), column(batch, "label").to_pylist(), strict=True):
-            if y == 0:
-                c.update(t for t in terms(fold(text or "")) if t in known)
-        return {"term": pa.array(list(c), pa.string()), "n": pa.array(list(c.values()), pa.int64())}
+            found[y].update(of(fold(text or "")))
+        return both(found, name)
 
-    neg = {r["term"]: r["n"] for r in arrow_map(sample.select("text", "label"), clean, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    odds = {t: math.log((p + 0.1) / (n.get(1, 0) + 1)) - math.log((neg.get(t, 0) + 0.5) / (n.get(0, 0) + 1)) for t, p in known.items()}
-    kept: dict[str, float] = {}
-    for t in sorted((t for t, w in odds.items() if w >= MIN_ODDS), key=lambda t: (len(t), t)):
-        # a longer term is needed only if it says clearly more than the beginnings of it that are kept
-        if odds[t] > max((kept.get(t[:k], 0.0) for k in range(4, len(t))), default=0.0) + 0.3:
-            kept[t] = odds[t]
-    kept = dict(sorted(kept.items(), key=lambda x: (-x[1] * math.log(known[x[0]] + 1), x[0]))[:max_terms])
-    out = Lexicon(kept, exceptions)
+    rows = sample.select("text", "label")
+    per = arrow_map(rows, lambda b: counted(b, terms, "term"), "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    weight = F.log((F.col("pos") + 0.1) / (n.get(1, 0) + 1)) - F.log((F.col("neg") + 0.5) / (n.get(0, 0) + 1))
+    strong = per.filter(F.col("pos") >= MIN_TOXIC).withColumn("weight", F.round(weight, 9)).filter(F.col("weight") >= MIN_ODDS)
+    out = Lexicon(chosen_terms({r["term"]: r["weight"] for r in strong.select("term", "weight").collect()}), exceptions)
+
+    def around(folded: str) -> set[str]:  # the pairs of words of which one is a match
+        pairs = set()
+        for s, _, _ in out.matches(folded):
+            end = folded.find(" ", s + 1)
+            word, left = folded[s + 1 : end], folded[folded.rfind(" ", 0, s) + 1 : s]
+            right = folded[end + 1 : folded.find(" ", end + 1)]
+            pairs.update(p for p, known in ((f"{left} {word}", left), (f"{word} {right}", right)) if known)
+        return pairs
+
+    if out.weights:
+        per = arrow_map(rows, lambda b: counted(b, around, "pair"), "pair string, pos long, neg long").groupBy("pair").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        clean = [r["pair"] for r in per.filter((F.col("pos") == 0) & (F.col("neg") >= MIN_CLEAN)).select("pair").collect()]
+        out = Lexicon(out.weights, (*exceptions, *sorted(clean)))
 
     def measure(batch: pa.RecordBatch) -> dict:
         x = [out.features(t or "") for t in column(batch, "text").to_pylist()]
         return {"x": pa.array(x, pa.list_(pa.float64())), "label": column(batch, "label")}
 
-    rows = arrow_map(sample.select("text", "label"), measure, "x array<double>, label int").collect()
+    rows = arrow_map(rows, measure, "x array<double>, label int").collect()
+    rows.sort(key=lambda r: (r["label"], r["x"]))
     if rows and len(n) == 2:
         out.model = logistic(np.array([r["x"] for r in rows]), np.array([float(r["label"]) for r in rows]))
     return out
@@ -182,9 +215,11 @@ def toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) -> DataF
     """Score every document: doc_id, score (0 to 1), predicted (1 if at least ``threshold``), matched (sum of weights).
 
     Null and empty texts get the score of a text without matches. Repeated rows and
-    rows without doc_id are scored like any other. An empty table gives an empty
-    result; without labelled rows the lexicon is empty and all scores are low.
-    Other columns are left out, whatever their names.
+    rows without doc_id are scored like any other. A very long text is scored whole, in
+    one pass of the automaton; one unbroken word is known by its beginnings. Of terms
+    that begin at one place the heaviest counts, of equally heavy ones the shortest. An
+    empty table gives an empty result; without labelled rows the lexicon is empty and
+    all scores are low. Other columns are left out, whatever their names.
     """
 
     def step(batch: pa.RecordBatch) -> dict:
