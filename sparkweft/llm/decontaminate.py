@@ -78,8 +78,9 @@ def document_shingles(docs: DataFrame, widths: list[int]) -> DataFrame:
     """(row, doc_id, n_doc, h): the shingles of all widths that the items have; n_doc counts them with repeats."""
     every = F.concat(*[shingle_hashes(F.col("w"), k) for k in widths])
     n = sum((F.greatest(F.lit(0), F.size("w") - k + 1) for k in widths), F.lit(0))
-    # explode takes the expression itself: of a column Spark would infer a filter and push it below the words, which it would then split for every shingle
-    return with_words(docs, "row", "doc_id").select("row", "doc_id", n.alias("n_doc"), F.explode(every).alias("h"))
+    # the words stay behind the explode, which takes the expression itself: of a column Spark would infer a filter and push it below the words, and split them for every shingle
+    counted = with_words(docs, "row", "doc_id").select("row", "doc_id", "w", n.alias("n_doc"))
+    return counted.select("row", "doc_id", "n_doc", F.explode(every).alias("h"))
 
 
 def candidates(docs: DataFrame, sets: DataFrame, widths: list[int], containment: float = CONTAINMENT) -> DataFrame:
