@@ -25,7 +25,7 @@ from .toxicity import sample_labelled
 
 #: Bounds: labelled documents for each label, hashed shapes and words, dimensions of the latent space; voters.
 MAX_PER_LABEL = 1500
-SHAPES, WORDS, MARKS = 4032, 8192, 64
+SHAPES, WORDS, MARKS = 4032, 4096, 64
 TERMS = 1 + SHAPES + WORDS + MARKS
 #: What a word counts beside a shape.
 WORD_WEIGHT = 0.1
@@ -139,22 +139,25 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = MAX_PER_LABEL, dime
             "values": pa.array([list(b.values()) for b in bags], pa.list_(pa.float64())),
         }
 
-    rows = arrow_map(sample_labelled(docs, labels, "quality", per_label), step, "doc_id long, label int, terms array<int>, values array<double>").collect()
-    rows.sort(key=lambda r: (xxhash.xxh3_64_intdigest(str(r["doc_id"])), r["label"]))
-    if not rows:
+    table = arrow_map(sample_labelled(docs, labels, "quality", per_label), step, "doc_id long, label int, terms array<int>, values array<double>").toArrow()
+    n = table.num_rows
+    if not n:
         return Neighbours(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5)
-    bags = [dict(zip(r["terms"], r["values"], strict=True)) for r in rows]
-    x = matrix(bags)
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 0.1
+    ids, y = table["doc_id"].to_pylist(), table["label"].to_numpy().astype(float)
+    order = np.array(sorted(range(n), key=lambda i: (xxhash.xxh3_64_intdigest(str(ids[i])), y[i])))
+    # the sample as one matrix, filled from the arrow columns and changed in place: the driver holds no other copy
+    terms, values = table["terms"].combine_chunks(), table["values"].combine_chunks()
+    at = np.argsort(order)[np.repeat(np.arange(n), np.diff(terms.offsets.to_numpy()))]
+    u = np.zeros((n, TERMS), np.float32)
+    u[at, terms.flatten().to_numpy()] = values.flatten().to_numpy()
+    idf = np.log((1 + n) / (1 + np.count_nonzero(u, axis=0))).astype(np.float32) + 0.1
+    u *= idf
+    u /= np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-9)
     # singular vectors by way of the documents' products, a table of the sample's size squared
-    u = unit(x * idf).astype(np.float64)
-    values, vectors = np.linalg.eigh(u @ u.T)
-    top = [i for i in np.argsort(-values)[:dimensions] if values[i] > 1e-9]
-    basis = (u.T @ vectors[:, top] / np.sqrt(values[top])).astype(np.float32)
-    y = np.array([float(r["label"]) for r in rows])
-    out = Neighbours(idf, basis, np.zeros((0, 1)), y, float(y.mean()))
-    out.vectors = out.project(bags)
-    return out
+    values, vectors = np.linalg.eigh((u @ u.T).astype(np.float64))
+    top = [i for i in np.argsort(-values)[:dimensions] if values[i] > 1e-6]
+    basis = u.T @ (vectors[:, top] / np.sqrt(values[top])).astype(np.float32)
+    return Neighbours(idf, basis, unit(u @ basis), y[order], float(y.mean()))
 
 
 def quality(docs: DataFrame, space: Neighbours, threshold: float = 0.3, k: int = K) -> DataFrame:
