@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut, table
 
-__all__ = ["SPACE", "SPACE_CLASS", "WORD_CLASS", "arrow_map", "column", "cut", "parts", "remainder", "slices", "table", "texts"]
+__all__ = ["SPACE", "SPACE_CLASS", "WORD_CLASS", "arrow_map", "column", "cut", "in_order", "parts", "remainder", "slices", "table", "texts"]
 
 SPACE = b" \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -69,3 +69,19 @@ def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], dict | None], sche
                     yield pa.RecordBatch.from_pydict(out)
 
     return df.mapInArrow(run, schema)
+
+
+def in_order(df: DataFrame, *by: str | Column) -> DataFrame:
+    """The rows dealt by ranges of ``by`` and sorted within each, with ``part`` (the range) and ``index`` (0, 1, ... over all rows).
+
+    No task holds more than a range; of each range one number, its size, goes to the driver.
+    ``by`` must tell the rows apart for the index to be the same in every run.
+    """
+    rows = cut(df.repartitionByRange(parts(df), *by).sortWithinPartitions(*by).withColumn("__id", F.monotonically_increasing_id()))
+    rows = rows.withColumn("part", F.shiftright("__id", 33).cast("int")).withColumn("__id", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))
+    before, offsets = 0, []
+    for part, n in sorted(rows.groupBy("part").agg(F.count(F.lit(1))).collect()):
+        offsets.append((part, before))
+        before += n
+    starts = df.sparkSession.createDataFrame(offsets, "part int, __start long")
+    return rows.join(F.broadcast(starts), "part").withColumn("index", F.col("__start") + F.col("__id")).drop("__id", "__start")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, class_lm, decontaminate, line_dedup, merkle, mixing, near_dedup, quality, token_counts, toxicity
+from . import chat, class_lm, decontaminate, line_dedup, merkle, mixing, near_dedup, quality, spelling, token_counts, toxicity
 from .common import table
 
 
@@ -50,9 +50,14 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 ALL = (
     op1_toxicity, op2_fingerprint, op3_class_lm, op4_quality, op5_token_counts,
     op6_decontaminate, op7_line_dedup, op8_near_dedup, op9_chat_format, op10_mix,
+    op11_spelling,
 )
 
 
