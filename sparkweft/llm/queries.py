@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, class_lm, decontaminate, line_dedup, merkle, mixing, near_dedup, quality, spelling, token_counts, toxicity
+from . import chat, class_lm, decontaminate, line_dedup, merkle, mixing, near_dedup, phrases, quality, spelling, token_counts, toxicity
 from .common import table
 
 
@@ -54,10 +54,14 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 ALL = (
     op1_toxicity, op2_fingerprint, op3_class_lm, op4_quality, op5_token_counts,
     op6_decontaminate, op7_line_dedup, op8_near_dedup, op9_chat_format, op10_mix,
-    op11_spelling,
+    op11_spelling, op13_phrases,
 )
 
 
@@ -66,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontaminate": decontaminate.SQL, "op7_line_dedup": line_dedup.SQL}
+    return {"op6_decontaminate": decontaminate.SQL, "op7_line_dedup": line_dedup.SQL, "op13_phrases": phrases.SQL}
