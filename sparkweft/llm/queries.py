@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, class_lm, decontaminate, line_dedup, merkle, mixing, near_dedup, phrases, quality, spelling, token_counts, toxicity
+from . import chat, class_lm, decontaminate, line_dedup, merkle, mixing, near_dedup, neighbours, phrases, quality, spelling, token_counts, toxicity
 from .common import table
 
 
@@ -54,6 +54,10 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
@@ -61,7 +65,7 @@ def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALL = (
     op1_toxicity, op2_fingerprint, op3_class_lm, op4_quality, op5_token_counts,
     op6_decontaminate, op7_line_dedup, op8_near_dedup, op9_chat_format, op10_mix,
-    op11_spelling, op13_phrases,
+    op11_spelling, op12_neighbours, op13_phrases,
 )
 
 
