@@ -11,6 +11,7 @@ task holds all lengths.
 from __future__ import annotations
 
 import base64
+import re
 from collections import Counter
 from functools import lru_cache
 
@@ -26,6 +27,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 #: The vocabulary's split pattern (fixed value, from the tokenizers' description).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK = 1024
+#: The white space of the pattern, where it stands in runs that its matcher, which goes back over a run step by step, has no stack for.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 
 
 @lru_cache(maxsize=4)
@@ -38,6 +41,22 @@ def encoder(path: str):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def token_count(encoding, text: str | None) -> int:
+    """Tokens of a whole text, however long.
+
+    A run of white space is one piece of the pattern at the end of a text; before
+    something else its last character belongs to what follows. Long runs are encoded as
+    the piece that they are, and what stands between them by the pattern: the pieces, and
+    so the tokens, are those of the whole text.
+    """
+    n, start = 0, 0
+    for run in LONG_SPACE.finditer(text or ""):
+        end = run.end() - (run.end() < len(text))
+        n += len(encoding.encode_ordinary(text[start : run.start()])) + len(encoding._encode_single_piece(text[run.start() : end]))
+        start = end
+    return n + len(encoding.encode_ordinary(text[start:])) if text else 0
+
+
 def shipped(docs: DataFrame, folder: str, vocabulary: str) -> str:
     """Send the rank file to all executors with the job; returns the name by which tasks find it."""
     docs.sparkSession.sparkContext.addFile(f"{folder}/{vocabulary}")
@@ -49,8 +68,8 @@ def token_counts(docs: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VO
     path = shipped(docs, folder, vocabulary)
 
     def step(batch: pa.RecordBatch) -> dict:
-        encode = encoder(SparkFiles.get(path)).encode_ordinary
-        return {"doc_id": column(batch, "doc_id"), "n_tokens": pa.array([len(encode(t)) if t else 0 for t in column(batch, "text").to_pylist()], pa.int64())}
+        encoding = encoder(SparkFiles.get(path))
+        return {"doc_id": column(batch, "doc_id"), "n_tokens": pa.array([token_count(encoding, t) for t in column(batch, "text").to_pylist()], pa.int64())}
 
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), step, "doc_id long, n_tokens long")
 
@@ -60,8 +79,8 @@ def lengths(docs: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABUL
     path = shipped(docs, folder, vocabulary)
 
     def step(batch: pa.RecordBatch) -> dict:
-        encode = encoder(SparkFiles.get(path)).encode_ordinary
-        c = Counter(len(encode(t)) if t else 0 for t in column(batch, "text").to_pylist())
+        encoding = encoder(SparkFiles.get(path))
+        c = Counter(token_count(encoding, t) for t in column(batch, "text").to_pylist())
         return {"n_tokens": pa.array(list(c), pa.int64()), "n": pa.array(list(c.values()), pa.int64())}
 
     return arrow_map(docs.select("text"), step, "n_tokens long, n long")
@@ -97,7 +116,7 @@ def length_histogram(counts: DataFrame) -> DataFrame:
 
 
 def token_histogram(docs: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """:func:`length_histogram` of the documents. Null and empty texts have length 0; repeated rows count each, rows without doc_id too."""
+    """:func:`length_histogram` of the documents. Null and empty texts have length 0; a very long text, of white space too, is one row of its task; repeated rows count each, rows without doc_id too."""
     return length_histogram(lengths(docs, folder, vocabulary))
 
 
