@@ -56,42 +56,67 @@ def step_cost(role: int, at: int, to: int) -> int:
     return label + INSERT * len(gap) + MERGE * (at == to)
 
 
+def turn_matrix(role: int) -> list[int]:
+    """The matrix of one turn: 16 costs from state to state, then the order of the ways on from each state, which is that of the labels."""
+    return [step_cost(role, at, to) if to else INF for at in range(4) for to in range(4)] + [0, 1, 2, 3] * 4
+
+
+TURNS = [turn_matrix(r) for r in range(4)]
+
+
+def onward(cost: list[int], order: list[int], m: list[int]) -> tuple[list[int], list[int], list[int]]:
+    """Costs of the states after a turn or a block, the order of the labels on the way to each, and the state before.
+
+    Of equally cheap ways to a state that of the smallest labels, compared from the front, is
+    taken: the ways up to here have an order, and those that go on from one state have one
+    within the matrix. So the outcome doesn't depend on where a conversation is cut.
+    """
+    way = [min(range(4), key=lambda k, j=j: (min(INF, cost[k] + m[4 * k + j]), order[k])) for j in range(4)]
+    ranked = sorted(range(4), key=lambda j: (order[way[j]], m[16 + 4 * way[j] + j]))
+    return [min(INF, cost[way[j]] + m[4 * way[j] + j]) for j in range(4)], [ranked.index(j) for j in range(4)], way
+
+
+def _from(state: int) -> tuple[list[int], list[int]]:
+    return [0 if i == state else INF for i in range(4)], [0, 1, 2, 3]
+
+
 def block_matrix(roles: list[int]) -> list[int]:
-    """Cheapest cost from each state to each after all turns of the block, row by row."""
-    m = [[0 if i == j else INF for j in range(4)] for i in range(4)]
-    for r in roles:
-        cost = [[step_cost(r, at, to) if to else INF for to in range(4)] for at in range(4)]
-        m = [[min(INF, min(m[i][k] + cost[k][j] for k in range(4))) for j in range(4)] for i in range(4)]
-    return [x for row in m for x in row]
+    """Cheapest cost from each state to each after all turns of the block, row by row, then the order of these ways from each state."""
+    costs, orders = [], []
+    for first in range(4):
+        cost, order = _from(first)
+        for r in roles:
+            cost, order, _ = onward(cost, order, TURNS[r])
+        costs += cost
+        orders += order
+    return costs + orders
+
+
+def _back(ways: list[list[int]], at: int) -> list[int]:
+    """The states after each step on the way that ends at ``at``, and the one before the first."""
+    out = [at]
+    for way in reversed(ways):
+        out.append(at := way[at])
+    return out[::-1]
 
 
 def borders(matrices: list[list[int]]) -> list[tuple[int, int]]:
-    """First and last state of every block on the cheapest way through all of them; ties: the smaller last state."""
-    best, ways = [0, INF, INF, INF], []
+    """First and last state of every block on the cheapest way through all of them; of equal ones that of the smallest labels from the front."""
+    (cost, order), ways = _from(START), []
     for m in matrices:
-        way = [min(range(4), key=lambda k, j=j: (best[k] + m[4 * k + j], k)) for j in range(4)]
-        best = [min(INF, best[way[j]] + m[4 * way[j] + j]) for j in range(4)]
+        cost, order, way = onward(cost, order, m)
         ways.append(way)
-    at = min(range(4), key=lambda j: (best[j] + INSERT * len(ENDS[j]), j))
-    out = []
-    for way in reversed(ways):
-        out.append((way[at], at))
-        at = way[at]
-    return out[::-1]
+    states = _back(ways, min(range(4), key=lambda j: (cost[j] + INSERT * len(ENDS[j]), order[j])))
+    return list(zip(states, states[1:], strict=False))
 
 
 def block_labels(roles: list[int], first: int, last: int) -> list[int]:
-    """Labels of the block's turns on its cheapest path from state ``first`` to ``last``; ties: the smaller state before."""
-    best, ways = [0 if i == first else INF for i in range(4)], []
+    """Labels of the block's turns on its cheapest path from state ``first`` to ``last``; of equal ones the smallest labels from the front."""
+    (cost, order), ways = _from(first), []
     for r in roles:
-        way = [min(range(4), key=lambda k, j=j: (best[k] + step_cost(r, k, j), k)) if j else 0 for j in range(4)]
-        best = [INF if j == 0 else min(INF, best[way[j]] + step_cost(r, way[j], j)) for j in range(4)]
+        cost, order, way = onward(cost, order, TURNS[r])
         ways.append(way)
-    out, at = [], last
-    for way in reversed(ways):
-        out.append(at)
-        at = way[at]
-    return out[::-1]
+    return _back(ways, last)[1:]
 
 
 def safe(text: str | None) -> str:
@@ -157,7 +182,8 @@ def repair(turns: DataFrame) -> DataFrame:
     before it. A conversation's ``rendered`` pieces, joined in the order of turn and
     ``order`` (the hash), are the repaired conversation; its last row also closes it. Null and empty
     texts are turns with no text; marks within texts are broken up. Unknown roles cost
-    less to relabel than known ones. A long conversation, or many rows of one turn number,
+    less to relabel than known ones. Of equally cheap repairs that of the smallest labels (in
+    the order of ROLES), compared turn by turn from the front, is taken. A long conversation, or many rows of one turn number,
     are cut into blocks; a very long text is one row of its task. An empty table gives an empty result. Other
     columns are left out, whatever their names.
     """

@@ -11,7 +11,7 @@ exactly; the K nearest vote by similarity.
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -64,9 +64,11 @@ def bag(text: bytes) -> dict[int, float]:
         return {0: 1.0}
     c = Counter(shape)
     c.update(x + b" " + y for x, y in zip(shape, shape[1:], strict=False))
-    out = {1 + xxhash.xxh3_64_intdigest(t) % SHAPES: math.log1p(100 * k / n) for t, k in c.items()}
+    out: dict[int, float] = defaultdict(float)  # terms that share a slot add up
+    for t, k in c.items():
+        out[1 + xxhash.xxh3_64_intdigest(t) % SHAPES] += math.log1p(100 * k / n)
     for w, k in Counter(words).items():
-        out[1 + SHAPES + xxhash.xxh3_64_intdigest(w) % WORDS] = WORD_WEIGHT * math.log1p(100 * k / n)
+        out[1 + SHAPES + xxhash.xxh3_64_intdigest(w) % WORDS] += WORD_WEIGHT * math.log1p(100 * k / n)
     lines = text.split(b"\n")
     marks = (
         sum(map(bytes.__eq__, words, words[1:])) / n,

@@ -39,7 +39,7 @@ MIN_CLEAN = 5
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "idiot proof", "sore loser", "scum line", "stupid simple")
 
 # Letters of other scripts that look like Latin ones; NFKD has no form for them.
-HOMOGLYPHS = str.maketrans("абвгеёзікмнорстухуѕјԁһӏαβεικνορτυχɑɡıʟոսօցհɩ", "abbreeeikmhopctyxysjdhlabeikvoptuxagilnuoghi") | {0x200B: None, 0x200C: None, 0x200D: None, 0xAD: None}
+HOMOGLYPHS = str.maketrans("абвгеёзікмнорстухуѕјԁһӏαβεικνορτυχɑɡıʟոսօցհɩ", "abbreeeikmhopctyxysjdhlabeikvoptuxagilnuoghi") | {0x200B: None, 0x200C: None, 0x200D: None, 0xAD: None} | str.maketrans({"ł": "l", "ø": "o", "đ": "d", "ħ": "h", "ŧ": "t", "ß": "ss", "æ": "ae", "œ": "oe"})
 _ODD = re.compile("[" + "".join(chr(c) for c in HOMOGLYPHS) + "]")
 _MARKS = re.compile("[\u0300-\u036f\u0483-\u0487\u1ab0-\u1aff\u20d0-\u20ff]+")
 DIGITS = bytes.maketrans(b"01345789@$", b"oieastbgas")
@@ -110,7 +110,15 @@ class Lexicon:
                     excused.append((start, end))
                 elif w > best.get(start, (0.0, 0))[0]:
                     best[start] = (w, end)
-        return [(s, e, w) for s, (w, e) in sorted(best.items()) if not any(x <= s and e <= y for x, y in excused)]
+        out, held, at = [], -1, 0  # the largest end of the excused spans that begin so far
+        excused.sort()
+        for s, (w, e) in sorted(best.items()):
+            while at < len(excused) and excused[at][0] <= s:
+                held = max(held, excused[at][1])
+                at += 1
+            if e > held:
+                out.append((s, e, w))
+        return out
 
     def features(self, text: str) -> list[float]:
         """Constant, matched weight (log), weight by length (log), distinct matches, log length."""

@@ -447,13 +447,13 @@ def test_learned_exceptions(spark):
         w = [rng.choice(VOCABULARY) for _ in range(30)]
         if i % 3 == 0:
             w[5:5] = ["zorkhead"]
-        elif i % 3 == 1 and i % 2:
+        elif i % 3 == 1 and i % 10 == 0:
             w[5:5] = ["zorkhead", "lamp"]  # a clean use of the word
         rows.append((i, " ".join(w)))
         marks.append((i, 1, int(i % 3 == 0)))
     lex = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int"), exceptions=())
     plain, excused = (lex.features(f"one two {t} three")[1] for t in ("zorkhead", "zorkhead lamp"))
-    assert not lex.weights or (plain > 0 and excused == 0 and "zorkhead lamp" in lex.exceptions)
+    assert plain > 0 and excused == 0 and "zorkhead lamp" in lex.exceptions
 
 
 def test_folding_and_exceptions():
