@@ -10,8 +10,8 @@ from sparkweft.operators import graph
 from sparkweft.sources import cve_feed, manifests
 
 FILES = {
-    "package.json": json.dumps({"dependencies": {"express": "4.18.2", "lodash": "^4.17.20", "g": "git+https://x", "l": "file:../l"}, "devDependencies": {"jest": "29.0.0"}}),
-    "requirements.txt": "# comment\nrequests==2.28.0\nflask>=2.0.0\nnumpy\n\n-r other.txt\npyjwt[crypto]==2.6.0  # why\n",
+    "package.json": json.dumps({"dependencies": {"web-frame": "3.7.1", "sorter": "^2.11.4", "g": "git+https://x", "l": "file:../l"}, "devDependencies": {"proof": "8.0.3"}}),
+    "requirements.txt": "# comment\ngetter==1.19.3\nsmallweb>=3.1.0\nmatrix\n\n-r other.txt\ntokens[extra]==5.6.2  # why\n",
     "Pipfile": '[packages]\nrequests = "==2.28"\nflask = {version = ">=2.0"}\n[dev-packages]\nblack = "*"\n[requires]\npython_version = "3.11"\n',
     "pyproject.toml": '[project]\ndependencies = ["fastapi>=0.95", "httpx"]\n[project.optional-dependencies]\ndev = ["pytest==7.0"]\n[tool.poetry.dependencies]\npython = "^3.11"\npydantic = "^2.0"\n[tool.poetry.dev-dependencies]\nmypy = "*"\n',
     "pom.xml": "<project xmlns='http://maven.apache.org/POM/4.0.0'><dependencies><dependency><groupId>org.s</groupId><artifactId>core</artifactId><version>5.3</version></dependency><dependency><groupId>j</groupId><artifactId>unit</artifactId><scope>test</scope></dependency></dependencies></project>",
@@ -27,8 +27,8 @@ def files(spark):
 def test_all_formats(files):
     rows = manifests.load_manifests(files).collect()
     by = lambda n: {(r["name"], r["version"], r["is_dev"]) for r in rows if r["manifest_path"] == f"/r/{n}"}
-    assert by("package.json") == {("express", "4.18.2", False), ("lodash", "4.17.20", False), ("g", "git", False), ("jest", "29.0.0", True)}
-    assert by("requirements.txt") == {("requests", "2.28.0", False), ("flask", "2.0.0", False), ("numpy", "unknown", False), ("pyjwt", "2.6.0", False)}
+    assert by("package.json") == {("web-frame", "3.7.1", False), ("sorter", "2.11.4", False), ("g", "git", False), ("proof", "8.0.3", True)}
+    assert by("requirements.txt") == {("getter", "1.19.3", False), ("smallweb", "3.1.0", False), ("matrix", "unknown", False), ("tokens", "5.6.2", False)}
     assert by("Pipfile") == {("requests", "2.28", False), ("flask", "2.0", False), ("black", "unknown", True)}
     assert by("pyproject.toml") == {("fastapi", "0.95", False), ("httpx", "unknown", False), ("pytest", "7.0", False), ("pydantic", "2.0", False), ("mypy", "unknown", True)}
     assert by("pom.xml") == {("org.s:core", "5.3", False), ("j:unit", "unknown", True)}
@@ -85,6 +85,30 @@ def test_wrong_shapes_are_errors_and_the_rest_is_read(spark):
     assert {r["manifest_path"][:2] for r in manifests.parse_errors(df).collect()} == {"/a", "/b", "/c", "/d", "/f", "/g"}
 
 
+def test_one_odd_entry_leaves_the_rest(spark):
+    text = {
+        "a/package.json": '{"dependencies":{"a":"1","a":"2","b":"3"},"devDependencies":7}',
+        "b/package-lock.json": '{"lockfileVersion":3,"packages":{"":{"dependencies":{"a":"1"}},"node_modules/a":{"version":"1.0","dependencies":{"c":5}},"node_modules/b":"odd","node_modules/d":{"dependencies":["x"]}}}',
+        "c/package-lock.json": '{"dependencies":{"a":{"version":"1","dependencies":["x"]},"b":4,"c":{"version":"2","dependencies":{"d":{},"e":"odd"}}}}',
+        "d/package-lock.json": '{"lockfileVersion":"x","packages":{"node_modules/a":{"version":"1"}}}',
+        "e/requirements.txt": None,
+        "f/package.json": '{"dependencies":{"a":"1"}} and more',
+        "g/package.json": '{"dependencies":{"a":"1"}} {"dependencies":{"b":"1"}}',
+        "h/package-lock.json": '{"lockfileVersion":2,"packages":{"node_modules/a":{"version":"1"},"node_modules/a":{"version":"2"}}}',
+        "i/package.json": ' {"name":"empty"} ',
+    }
+    df = spark.createDataFrame([("p", f"/{n}", c) for n, c in text.items()], "project_id string, manifest_path string, content string")
+    rows, errors = manifests.read_all(df)
+    got = {}
+    for r in rows.collect():
+        got.setdefault(r["manifest_path"][1], set()).add((r["name"], r["version"]))
+    assert got == {"a": {("a", "2"), ("b", "3")}, "b": {("a", "1.0"), ("a", "1"), ("c", "unknown"), ("d", "unknown")}, "c": {("a", "1"), ("c", "2"), ("d", "unknown")}, "h": {("a", "2")}}
+    assert sorted((r["manifest_path"][1], r["error"]) for r in errors.collect()) == [
+        ("a", "devDependencies is no object"), ("b", "package 'node_modules/b' is no object"), ("c", "dependencies of package 'a' is no object"), ("c", "package 'b' is no object"), ("c", "package 'e' is no object"),
+        ("d", "lockfileVersion is no number"), ("e", "no content"), ("f", "no JSON object"), ("g", "no JSON object"),
+    ]
+
+
 def test_errors_do_not_stop_the_rest(spark):
     rows = [("p", "/r/package.json", "{bad"), ("p", "/r/Pipfile", "= ="), ("p", "/r/pom.xml", "<a>"), ("p", "/r/x.lock", ""), ("p", "/r/requirements.txt", "ok==1")]
     df = spark.createDataFrame(rows, "project_id string, manifest_path string, content string")
