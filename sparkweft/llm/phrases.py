@@ -72,11 +72,11 @@ class Block:
         numbers = self.known.get(lang)
         if numbers is None:
             numbers = self.known[lang] = {END: 0}
-        for w in set(words) - numbers.keys():
+        for w in set(words).difference(numbers):
             numbers[w] = len(self.words)
             self.words.append(w)
             self.langs.append(lang)
-        self.parts.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
+        self.parts.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
         self.held += len(words)
 
     def after(self) -> Block:
@@ -116,8 +116,10 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
         yield block
 
 
-def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.unique(keys, return_inverse=True, return_counts=True)
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys, and which of them stands where."""
+    own, inverse = np.unique(keys, return_inverse=True)
+    return own, inverse.astype(np.int32)
 
 
 def _phrases(block: Block, now: Filter | None, before: list[Filter], longest: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -144,7 +146,7 @@ def _phrases(block: Block, now: Filter | None, before: list[Filter], longest: in
 
     two = (ids[:-1] > 0) & (ids[1:] > 0)
     last = np.arange(1, len(ids))
-    keys, inverse, _ = _distinct(ids[:-1] * size + ids[1:])
+    keys, inverse = _distinct(ids[:-1].astype(np.int64) * size + ids[1:])
     pair = _pair_hash(hashes[keys // size], hashes[keys % size])
     # a pair counts where its last word is new in this block
     at = np.flatnonzero(two & (last >= block.seen) & wanted(word_pass))
@@ -159,7 +161,7 @@ def _phrases(block: Block, now: Filter | None, before: list[Filter], longest: in
         return ok[:-1] & ok[1:]
 
     at = np.flatnonzero(two[:-1] & two[1:] & (last[1:] >= block.seen) & wanted(pair_pass))
-    keys3, _, n = _distinct(inverse[at] * size + ids[at + 2])
+    keys3, n = np.unique(inverse[at].astype(np.int64) * size + ids[at + 2], return_counts=True)
     first = keys[keys3 // size]
     yield first // size, first % size, keys3 % size, n
 
