@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import ROOT
-from ..functions.versions import compare_keys, parse_version
+from ..functions.versions import compare_keys, with_keys
 from ..session import counted, cut
 
 P = "project_id"
@@ -38,7 +38,8 @@ def resolve_nodes(deps: DataFrame, prefer_resolved: bool = False) -> DataFrame:
         best = F.max("resolved").over(Window.partitionBy(P, "name"))
         deps = deps.withColumn("__best", best).filter(F.col("resolved").eqNullSafe(F.col("__best"))).drop("__best")
     first = deps.groupBy(P, "name", "version").agg(F.min_by(F.struct("seq", "ecosystem", "is_direct", "is_dev"), "seq").alias("d"))
-    one = F.struct(F.col("d.seq").alias("seq"), "version", parse_version(F.col("version")).alias("key"), F.col("d.ecosystem").alias("ecosystem"), F.col("d.is_direct").alias("is_direct"), F.col("d.is_dev").alias("is_dev"))
+    first = with_keys(first, "version", "key")
+    one = F.struct(F.col("d.seq").alias("seq"), "version", "key", F.col("d.ecosystem").alias("ecosystem"), F.col("d.is_direct").alias("is_direct"), F.col("d.is_dev").alias("is_dev"))
     folded = first.groupBy(P, "name").agg(F.sort_array(F.collect_list(one)).alias("c"))
     best = F.aggregate(F.slice(F.col("c"), 2, F.greatest(F.size("c") - 1, F.lit(0))), F.element_at("c", 1), lambda acc, x: F.when(compare_keys(x["key"], acc["key"]) > 0, x).otherwise(acc))
     return folded.select(P, "name", best.alias("b")).select(P, "name", "b.version", "b.ecosystem", "b.is_direct", "b.is_dev")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,13 +18,16 @@ P = "project_id"
 def match_cves(nodes: DataFrame, cves: DataFrame, ecosystem_aware: bool = False, match_artifact: bool = False) -> DataFrame:
     """(project_id, name, cve_id, cvss_score): versions of nodes within the CVEs' ranges.
 
-    An equi-join on the normalised name, the range as its residual; version keys are
-    parsed once on either side, before the join. ``ecosystem_aware`` also asks for the
-    same ecosystem, or an unknown one, of the CVE; ``match_artifact`` matches the part
-    of a name after ``:`` or ``/``.
+    The different (name, version) of all nodes, far fewer than the nodes, meet the ranges
+    in an equi-join on the normalised name with the range as its residual; a version's
+    key is made once, however many nodes have it. What matches goes back to the nodes by
+    name and version. ``ecosystem_aware`` also asks for the same ecosystem, or an unknown
+    one, of the CVE; ``match_artifact`` matches the part of a name after ``:`` or ``/``.
     """
     name = F.element_at(F.split("name", "[:/]"), -1) if match_artifact else F.col("name").cast("string")
-    left = nodes.select(P, "name", *(["ecosystem"] if ecosystem_aware else []), normalise_name(name).alias("key"), parse_version(F.col("version")).alias("v"))
+    what = ["name", "version", *(["ecosystem"] if ecosystem_aware else [])]
+    known = cves.select(normalise_name(F.col("package_name").cast("string")).alias("key")).distinct()
+    left = nodes.select(*what).distinct().withColumn("key", normalise_name(name)).join(known, "key", "left_semi").withColumn("v", parse_version(F.col("version")))
     right = cves.select(
         "cve_id", "cvss_score", F.col("ecosystem").alias("cve_ecosystem"), normalise_name(F.col("package_name").cast("string")).alias("key"),
         bound_key(F.col("version_start")).alias("lo"), bound_key(F.col("version_end")).alias("hi"), "version_start_incl", "version_end_excl",
@@ -30,7 +36,9 @@ def match_cves(nodes: DataFrame, cves: DataFrame, ecosystem_aware: bool = False,
     hits = left.join(right, "key").filter(within)
     if ecosystem_aware:
         hits = hits.filter((F.col("cve_ecosystem") == F.col("ecosystem")) | (F.col("cve_ecosystem") == "unknown"))
-    return hits.select(P, "name", "cve_id", "cvss_score").distinct()
+    hits = hits.select(*(F.col(c).alias(f"__{c}") for c in what), "cve_id", "cvss_score").distinct()
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in what))
+    return nodes.select(P, *what).distinct().join(hits, same).select(P, "name", "cve_id", "cvss_score").distinct()
 
 
 def lookup_package_cves(packages: DataFrame, cves: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ class Portfolio:
 
     @cached_property
     def matches(self) -> DataFrame:
-        return match.match_cves(self.raw_nodes, self.cves)
+        return match.match_cves(self.nodes, self.cves)
 
     @cached_property
     def vuln(self) -> DataFrame:

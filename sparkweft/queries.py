@@ -505,3 +505,21 @@ def cve_feed_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = cve_feed.refresh_plan(state, feeds, "2024-06-02 00:00:00")
     cve_feed.ingest_feeds(spark, plan, lambda entries: entries.write.mode("append").parquet(f"{run}/cves"), "2024-06-02 00:00:00")
     return spark.read.parquet(f"{run}/cves").select("cve_id", "package_name", "version_end", "cvss_score")
+
+
+_FED = "SELECT concat('CVE-', p_partkey) AS cve_id, concat('lib_', p_partkey) AS package_name, concat(p_size, '.0') AS version_end, CAST(p_partkey % 10 AS DOUBLE) AS cvss_score, NULL AS error FROM part UNION ALL SELECT concat('CVE-', p_partkey), 'deep', '2.0', CAST(p_partkey % 10 AS DOUBLE), NULL FROM part"
+
+
+@query(sql=_FED + " UNION ALL SELECT NULL, NULL, NULL, NULL, 'malformed JSON' FROM part WHERE p_partkey = (SELECT min(p_partkey) FROM part)")
+def cve_feed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feed files made from the parts, one of them broken off, read as a stream of two files a micro-batch; entries and errors."""
+    run = _folder(spark)
+    items = table(spark, sf_dir, "part").select(F.expr(_FEED).alias("item"), (F.col("p_partkey") % 5).alias("k"))
+    whole = items.groupBy("k").agg(F.concat(F.lit('{"CVE_Items":['), F.array_join(F.collect_list("item"), ","), F.lit("]}")).alias("value")).select("value")
+    broken = table(spark, sf_dir, "part").orderBy("p_partkey").limit(1).select(F.concat(F.lit('{"CVE_Items":['), F.expr(_FEED)).alias("value"))
+    whole.repartition(5).write.text(f"{run}/feeds")
+    broken.write.mode("append").text(f"{run}/feeds")
+    cve_feed.feed_stream(spark, f"{run}/feeds", f"{run}/out", f"{run}/log", 2).awaitTermination()
+    entries = spark.read.parquet(f"{run}/out/entries").select("cve_id", "package_name", "version_end", "cvss_score", F.lit(None).cast("string").alias("error"))
+    errors = spark.read.parquet(f"{run}/out/errors").select(*(F.lit(None).cast(t).alias(c) for c, t in (("cve_id", "string"), ("package_name", "string"), ("version_end", "string"), ("cvss_score", "double"))), F.split_part("error", F.lit(":"), F.lit(1)).alias("error"))
+    return entries.unionByName(errors)

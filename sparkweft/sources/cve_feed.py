@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamReader, StreamingQuery
 
 from ..constants import ECOSYSTEM_HINTS
 from ..functions.names import guess_ecosystem, normalise_name
@@ -24,10 +25,23 @@ ITEM = (
 )
 
 
+_FILE = "CVE_Items array<struct<{}>>, broken string".format(",".join(p.strip().replace(" ", ":", 1) for p in ITEM.split(", ")))
+
+
+def _files(reader: DataFrameReader | DataStreamReader, path: str) -> DataFrame:
+    """(file, items, error): feed files (JSON, also gzipped), a row each; the items are null where there is an error."""
+    rows = reader.schema(_FILE).option("multiLine", True).option("columnNameOfCorruptRecord", "broken").json(path)
+    error = F.when(F.col("broken").isNotNull(), F.concat(F.lit("malformed JSON: "), F.left("broken", F.lit(60)))).when(F.col("CVE_Items").isNull(), "no CVE_Items")
+    return rows.select(F.input_file_name().alias("file"), F.when(error.isNull(), F.col("CVE_Items")).alias("items"), error.alias("error"))
+
+
+def _items(files: DataFrame) -> DataFrame:
+    return files.select(F.explode("items").alias("i")).select("i.*")
+
+
 def read_cve_feed(spark: SparkSession, path: str) -> DataFrame:
-    """The items of feed files (JSON, also gzipped), a row each."""
-    fields = ",".join(p.strip().replace(" ", ":", 1) for p in ITEM.split(", "))
-    return spark.read.schema(f"CVE_Items array<struct<{fields}>>").option("multiLine", True).json(path).select(F.explode("CVE_Items").alias("i")).select("i.*")
+    """The items of feed files (JSON, also gzipped), a row each; those of malformed files are left out."""
+    return _items(_files(spark.read, path))
 
 
 def with_matches(rows: DataFrame) -> DataFrame:
@@ -90,19 +104,39 @@ def refresh_plan(state: DataFrame, feeds: DataFrame, now: str, force: bool = Fal
 def ingest_feeds(spark: SparkSession, plan: DataFrame, store: Callable[[DataFrame], None], now: str) -> DataFrame:
     """Read the feeds of a plan (feed, path; a few dozen rows) one by one and store their entries.
 
-    A feed that can't be read is skipped and its error kept; the others go on. Returns
-    feed, entries, error, last_modified: the state's new stamp, ``now`` for the feeds
-    that brought entries and null for all others, so that these are read again.
+    A feed that can't be read, is malformed or empty has an error; what could be read of it
+    is stored, and the others go on. Returns feed, entries, error, last_modified: the
+    state's new stamp, ``now`` for the feeds that brought entries and no error, null for
+    all others, so that these are read again.
     """
     done = []
     for feed in plan.orderBy("feed").collect():
         n, error = 0, None
         try:
-            entries = cut(flatten_cve_items(read_cve_feed(spark, feed["path"])))
+            files = cut(_files(spark.read, feed["path"]))
+            some, bad, error = files.agg(F.count(F.lit(1)), F.count("error"), F.min(F.concat_ws(": ", "file", "error"))).first()
+            error = "no content" if not some else error if bad else None
+            entries = cut(flatten_cve_items(_items(files)))
             if n := entries.count():
                 store(entries)
         except Exception as e:  # one broken year doesn't stop the others
             n, error = 0, f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
-        done.append((feed["feed"], n, error, now if n else None))
+        done.append((feed["feed"], n, error, now if n and not error else None))
     rows = spark.createDataFrame(done, "feed string, entries long, error string, last_modified string")
     return rows.withColumn("last_modified", F.col("last_modified").cast("timestamp"))
+
+
+def feed_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, files_at_once: int = 8) -> StreamingQuery:
+    """Read the feed files of a folder as they come, each once; which ones were read is in the checkpoint.
+
+    A micro-batch adds a partition of entries below ``out``/entries and one of (file,
+    error) below ``out``/errors; a batch that runs again after a failure overwrites its own.
+    """
+
+    def batch(files: DataFrame, n: int) -> None:
+        files = cut(files)
+        flatten_cve_items(_items(files)).write.mode("overwrite").parquet(f"{out}/entries/batch={n}")
+        files.filter("error IS NOT NULL").select("file", "error").write.mode("overwrite").parquet(f"{out}/errors/batch={n}")
+
+    files = _files(spark.readStream.option("maxFilesPerTrigger", files_at_once), folder)
+    return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -21,13 +21,13 @@ KEYS = {
     "1.2.3": (1, 2, 3), "v2": (2, 0, 0), "7": (7, 0, 0), "10.4": (10, 4, 0), "1.2.3.4": (1, 2, 3, 4), "1.2.3.4.5": (1, 2, 3, 4, "5"), "3.1.0.9-rc.2": (3, 1, 0, 9, "rc.2"),
     "1.0a1": (1, 0, 0, "0a1"), "1.2.3+b": (1, 2, 0, "3+b"), "5.6-beta-2": (5, 6, 0, "beta-2"), "1-2": (1, 0, 0, "2"), "1..2": (1, 0, 0, ".2"), "4.5.": (4, 0, 0, "5."), "4.5-": (4, 0, 0, "5-"),
     "4.": (4, "", 0), "a.b": ("a", 0, 0), "12a.1": ("12a", 0, 0), "vx1": ("vx1", 0, 0), "  8.1 ": (8, 1, 0), "": (0, 0, 0), "*": (0, 0, 0), "-": (0, 0, 0), "unknown": (0, 0, 0), None: (0, 0, 0),
-    "99999999999999999999.1": ("99999999999999999999", 1, 0),
+    "99999999999999999999.1": (99999999999999999999, 1, 0),
 }
 
 
 def test_parse_version(spark):
     got = values(spark, versions.parse_version, list(KEYS))
-    assert {v: tuple(p["n"] if p["n"] is not None else p["s"] for p in k) for v, k in zip(KEYS, got, strict=True)} == KEYS
+    assert {v: tuple(p["s"] if p["n"] is None else int(p["s"] or p["n"]) for p in k) for v, k in zip(KEYS, got, strict=True)} == KEYS
 
 
 def compared(a, b):
@@ -108,3 +108,14 @@ def test_bloom_parameters():
     for n, p in ((0, 0.1), (10, 0.0), (10, 1.0)):
         with pytest.raises(ValueError):
             scores.bloom_params(n, p)
+
+
+def test_numbers_of_any_length(spark):
+    rows = [("1.20240101000000000000000", "1.3", 1), ("1.99999999999999999999", "1.100000000000000000000", -1), ("0000000000000000000000012.1", "12.1", 0), ("9223372036854775807", "9223372036854775808", -1), ("2.123456789012345678901234567890123456789012345678", "2.123456789012345678901234567890123456789012345679", -1), ("5.99999999999999999999", "5.a", 1)]
+    got = spark.createDataFrame(rows, "a string, b string, c int").select("c", versions.compare_versions(F.col("a"), F.col("b")).alias("got"), versions.compare_versions(F.col("b"), F.col("a")).alias("back")).collect()
+    assert [(r["got"], r["back"]) for r in got] == [(c, -c) for _, _, c in rows]
+
+
+def test_a_key_names_each_step_once(spark):
+    df = spark.createDataFrame([("1.2.3-rc",)], "v string").select(versions.parse_version(F.col("v")).alias("k"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") < 10

@@ -171,3 +171,34 @@ def test_refresh_plan(spark):
     assert plan("timestamp'2024-06-01 12:00:00'") == set()
     assert plan("timestamp'2024-05-01 00:00:00'") == {"modified"}
     assert plan("timestamp'2024-06-01 12:00:00'", force=True) == {"2023", "2024"}
+
+
+def _feed(ident):
+    node = {"cpe_match": [{"vulnerable": True, "cpe23Uri": f"cpe:2.3:a:v:{ident}:*"}]}
+    return json.dumps({"CVE_Items": [{"cve": {"CVE_data_meta": {"ID": f"CVE-{ident}"}}, "configurations": {"nodes": [node]}}]})
+
+
+def test_malformed_feeds_are_errors(spark, tmp_path):
+    texts = {"2021": _feed("a"), "2022": _feed("b")[:-9], "2023": "hello", "2024": "", "2025": json.dumps({"other": 1}), "2026": _feed("c")}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    plan = spark.createDataFrame([(n, str(tmp_path / f"{n}.json")) for n in [*texts, "2027"]], "feed string, path string")
+    stored = []
+    got = {r["feed"]: r for r in cve_feed.ingest_feeds(spark, plan, lambda e: stored.extend(e.collect()), "2024-06-02 00:00:00").collect()}
+    assert {r["package_name"] for r in stored} == {"a", "c"}
+    assert {n: (r["entries"], r["error"] is None, r["last_modified"] is None) for n, r in got.items()} == {"2021": (1, True, False), "2026": (1, True, False)} | {n: (0, False, True) for n in ("2022", "2023", "2024", "2025", "2027")}
+
+
+def test_feeds_as_a_stream(spark, tmp_path):
+    for name, text in {"a": _feed("a"), "b": _feed("b")[:-9], "c": _feed("c")}.items():
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{name}.json").write_text(text)
+    run = lambda: cve_feed.feed_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "log"), 1).awaitTermination()
+    names = lambda: sorted(r["package_name"] for r in spark.read.parquet(str(tmp_path / "out" / "entries")).collect())
+    run()
+    assert names() == ["a", "c"]
+    errors = spark.read.parquet(str(tmp_path / "out" / "errors")).collect()
+    assert [(r["file"].rsplit("/", 1)[-1], r["error"][:14]) for r in errors] == [("b.json", "malformed JSON")]
+    (tmp_path / "in" / "d.json").write_text(_feed("d"))
+    run()  # goes on where it was
+    assert names() == ["a", "c", "d"]
