@@ -451,12 +451,17 @@ def cve_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     " SELECT project_id, 'added' AS change_type, name, NULL AS old_version, version AS new_version FROM (SELECT project_id, taken_at, name, version FROM n EXCEPT SELECT project_id, taken_at, name, version FROM o) UNION ALL SELECT project_id, 'removed', name, version, NULL FROM (SELECT project_id, taken_at, name, version FROM o EXCEPT SELECT project_id, taken_at, name, version FROM n) UNION ALL SELECT o.project_id, 'version_changed', o.name, o.version, n.version FROM o JOIN n ON o.project_id = n.project_id AND o.taken_at = n.taken_at AND o.name = n.name AND o.version <> n.version"
 )
 def change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weekly snapshots from the events, as a stream run to its end; the changes it wrote."""
-    path = f"{sf_dir}/events.parquet"
-    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events.parque[t]")  # a file or a folder
-    rows = events.select(F.col("user_id").cast("string").alias(P), F.date_trunc("week", "ts").cast("timestamp").alias("taken_at"), F.col("event_type").alias("name"), F.floor(F.col("value") / 20).cast("bigint").cast("string").alias("version"))
+    """Weekly snapshots from the events, in files by time that cut snapshots apart, read as a stream of a file a micro-batch; the changes it wrote."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias(P), F.date_trunc("week", "ts").cast("timestamp").alias("taken_at"), F.col("event_type").alias("name"), F.floor(F.col("value") / 20).cast("bigint").cast("string").alias("version"), "ts")
     run = _folder(spark)
-    changes.dependency_change_stream(rows, f"{run}/out", f"{run}/log").awaitTermination()
+    cuts = rows.select(F.percentile_approx("ts", [0.2, 0.4, 0.6, 0.8]).alias("c")).first()["c"] or []
+    for i in range(len(cuts) + 1):
+        part = rows.filter((F.col("ts") >= F.lit(cuts[i - 1]) if i else F.lit(True)) & (F.col("ts") < F.lit(cuts[i]) if i < len(cuts) else F.lit(True)))
+        part.drop("ts").coalesce(1).write.mode("append").parquet(f"{run}/in")
+    # a row of no other project, a week later, closes the last snapshots
+    rows.agg(F.lit("").alias(P), (F.max("taken_at") + F.expr("INTERVAL 7 DAYS")).alias("taken_at"), F.lit("end").alias("name"), F.lit("").alias("version")).coalesce(1).write.mode("append").parquet(f"{run}/in")
+    stream = spark.readStream.schema(changes.SNAPSHOT).option("maxFilesPerTrigger", 1).parquet(f"{run}/in")
+    changes.dependency_change_stream(stream, f"{run}/out", f"{run}/log", "0 seconds").awaitTermination()
     return spark.read.schema(changes.CHANGE).parquet(f"{run}/out").select(P, "change_type", "name", "old_version", "new_version")
 
 
@@ -483,12 +488,35 @@ def cve_alert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(alerts.schema).parquet(f"{run}/out")
 
 
-@query(sql=with_tables("cves") + " SELECT cve_id, package_name, version_start, version_end, cvss_score FROM cves")
+@query(sql=with_tables("nodes", "cves") + f", {_MATCH} SELECT DISTINCT project_id, name, cve_id, cvss_score, {_BAND.format('cvss_score')} AS severity FROM m WHERE cvss_score >= 7")
+def cve_alerts_both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alerts of two streams, of vulnerabilities and of packages, that come in turns; every pair is met, whichever came first."""
+    run = _folder(spark)
+    nodes, cves = bridge(spark, sf_dir, "nodes", "cves")
+    nodes, cves = nodes.withColumn("added_at", F.lit("2024-01-01").cast("timestamp")), cves.withColumn("seen_at", F.lit("2024-01-02").cast("timestamp"))
+    for k in (0, 1):
+        nodes.filter((F.col(P) + F.col("name")) % 2 == k).coalesce(1).write.mode("append").parquet(f"{run}/nodes")
+        cves.filter(F.col("package_name") % 2 == k).coalesce(1).write.mode("append").parquet(f"{run}/cves")
+    read = lambda df, what: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{run}/{what}")
+    alerts = changes.alerts_both_ways(read(cves, "cves"), read(nodes, "nodes")).select(P, "name", "cve_id", "cvss_score", "severity")
+    alerts.writeStream.format("parquet").option("path", f"{run}/out").option("checkpointLocation", f"{run}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(alerts.schema).parquet(f"{run}/out")
+
+
+@query(
+    sql=with_tables("cves")
+    + ", h AS (SELECT c.*, k FROM cves c CROSS JOIN (VALUES (0), (1), (2)) AS t(k) WHERE k = 0 OR c.package_name % (k + 1) = 0) SELECT cve_id, package_name, version_start, CASE k WHEN 0 THEN version_end ELSE concat(k, '.9.9') END AS version_end, cvss_score FROM h QUALIFY k = max(k) OVER (PARTITION BY cve_id)"
+)
 def cve_upsert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table that a stream of vulnerabilities keeps up to date, after its end."""
+    """The table that a stream of vulnerabilities keeps up to date: three batches, the later ones replace what came before; compacted on the way."""
     run = _folder(spark)
-    _, stream = _entries(spark, sf_dir, run)
-    changes.cve_upsert_stream(stream, f"{run}/cves", f"{run}/log").awaitTermination()
+    (cves,) = bridge(spark, sf_dir, "cves")
+    rows = cves.withColumn("seen_at", F.lit("2024-01-01").cast("timestamp"))
+    rows.coalesce(1).write.parquet(f"{run}/in")
+    for k in (1, 2):
+        rows.filter(F.col("package_name") % (k + 1) == 0).withColumn("version_end", F.lit(f"{k}.9.9")).coalesce(1).write.mode("append").parquet(f"{run}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{run}/in")
+    changes.cve_upsert_stream(stream, f"{run}/cves", f"{run}/log", 2).awaitTermination()
     return changes.current_cves(spark, f"{run}/cves").select("cve_id", "package_name", "version_start", "version_end", "cvss_score")
 
 
