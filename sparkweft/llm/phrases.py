@@ -4,8 +4,10 @@ A sample of the documents proposes words and word pairs; what is counted exactly
 pass over all documents is the proposals and their negative border, the phrases that
 weren't proposed although all their parts were: all words, the pairs of proposed words,
 the triples of proposed pairs. If border phrases turn out frequent, they are added and
-another pass counts the border of what is new, until none is left: then every frequent
-phrase has been counted, whatever the sample held.
+an expansion pass counts the border of what is new: the pairs of all frequent words, and
+the triples of pairs that are frequent or that this pass is the first to count. Phrases
+end at three words, so then it is closed: every frequent phrase has been counted,
+whatever the sample held.
 
 What a pass counts is told by two bitmaps of hashes, of words and of pairs, of bounded
 size. A hash that is set by chance has more phrases counted, never fewer.
@@ -134,13 +136,7 @@ def _phrases(block: Block, now: Filter | None, before: list[Filter], longest: in
         own = np.flatnonzero(n)
         yield own, n[own]
 
-    def wanted(passes) -> np.ndarray:
-        out = np.ones(1, bool) if now is None else passes(now)
-        for f in before:
-            out = out & ~passes(f)
-        return out
-
-    def word_pass(f: Filter) -> np.ndarray:
+    def both(f: Filter) -> np.ndarray:
         ok = _bits(f.words.value, hashes)
         return ok[ids[:-1]] & ok[ids[1:]]
 
@@ -148,26 +144,33 @@ def _phrases(block: Block, now: Filter | None, before: list[Filter], longest: in
     last = np.arange(1, len(ids))
     keys, inverse = _distinct(ids[:-1].astype(np.int64) * size + ids[1:])
     pair = _pair_hash(hashes[keys // size], hashes[keys % size])
-    # a pair counts where its last word is new in this block
-    at = np.flatnonzero(two & (last >= block.seen) & wanted(word_pass))
+    # pairs and triples that the filters so far count. From the second filter on, triples may also hold pairs that this filter is the first to count
+    done2, done3 = np.zeros(len(two), bool), np.zeros(max(0, len(two) - 1), bool)
+    for i, f in enumerate([*before, now]):
+        now2 = np.ones(len(two), bool) if f is None else both(f)
+        open2 = np.ones(len(two), bool) if f is None else _bits(f.pairs.value, pair)[inverse]
+        if i:
+            open2 |= now2 & ~done2
+        now3 = open2[:-1] & open2[1:]
+        if i == len(before):
+            now2, now3 = now2 & ~done2, now3 & ~done3
+        else:
+            done2, done3 = done2 | now2, done3 | now3
+    # a phrase counts where its last word is new in this block
+    at = np.flatnonzero(two & (last >= block.seen) & now2)
     n = np.bincount(inverse[at], minlength=len(keys))
     own = np.flatnonzero(n)
     yield keys[own] // size, keys[own] % size, n[own]
     if longest < LONGEST:
         return
-
-    def pair_pass(f: Filter) -> np.ndarray:
-        ok = _bits(f.pairs.value, pair)[inverse]
-        return ok[:-1] & ok[1:]
-
-    at = np.flatnonzero(two[:-1] & two[1:] & (last[1:] >= block.seen) & wanted(pair_pass))
+    at = np.flatnonzero(two[:-1] & two[1:] & (last[1:] >= block.seen) & now3)
     keys3, n = np.unique(inverse[at].astype(np.int64) * size + ids[at + 2], return_counts=True)
     first = keys[keys3 // size]
     yield first // size, first % size, keys3 % size, n
 
 
 def counted_phrases(docs: DataFrame, now: Filter | None = None, before: list[Filter] | None = None, longest: int = LONGEST) -> DataFrame:
-    """(lang, phrase, f): exact counts of the phrases that pass ``now`` but none of the filters ``before``; words in the first pass only."""
+    """(lang, phrase, f): exact counts of the phrases that the filter ``now`` (all, if None) is the first to count, after those ``before``; words in the first pass only."""
     before = before or []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,11 +212,11 @@ def bitmap(hashes: DataFrame) -> Broadcast:
     return hashes.sparkSession.sparkContext.broadcast(out)
 
 
-def filter_of(words: Broadcast | None, phrases: DataFrame) -> Filter:
-    """The filter of the phrases (lang, w, k) that are words, unless their bitmap is given, and that are pairs."""
+def filter_of(phrases: DataFrame) -> Filter:
+    """The filter of the phrases (lang, w, k) that are words and of those that are pairs."""
     one = phrases.filter("k = 1").select(_hash(F.col("lang"), F.get("w", 0)).alias("h"))
     two = phrases.filter("k = 2").select(_rotated(_hash(F.col("lang"), F.get("w", 0))).bitwiseXOR(_hash(F.col("lang"), F.get("w", 1))).alias("h"))
-    return Filter(words or bitmap(one), bitmap(two))
+    return Filter(bitmap(one), bitmap(two))
 
 
 def missed(phrases: DataFrame, f: Filter) -> DataFrame:
@@ -235,17 +238,14 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT) -> tuple[DataFrame
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), "text")
     chosen = F.pmod(F.xxhash64("lang", "text"), F.lit(1 << 20)) < int(SAMPLE * (1 << 20))
     sample = _with_words(cut(counted_phrases(docs.filter(chosen), longest=2).filter(F.col("f") >= min(PROPOSED, support))))
-    now = filter_of(None, sample)
+    now = filter_of(sample)
     counts = cut(counted_phrases(docs, now).filter((F.col("f") >= support) | ~F.contains("phrase", F.lit(" "))))
     total = counts.filter(~F.contains("phrase", F.lit(" "))).groupBy("lang").agg(F.sum("f").alias("n"))
     found = _with_words(counts.filter(F.col("f") >= support))
-    before, words, new = [now], None, found
-    while not missed(new, now).isEmpty():  # frequent, and not among what the border was drawn by
-        now = filter_of(words, found)
-        words = now.words
-        new = _with_words(cut(counted_phrases(docs, now, before).filter(F.col("f") >= support)))
-        found = found.unionByName(new)
-        before.append(now)
+    if not missed(found, now).isEmpty():  # a part of the border is frequent: count the border of all that is
+        more = counted_phrases(docs, filter_of(found), [now]).filter(F.col("f") >= support)
+        # now closed: what this pass found frequent are pairs, whose triples it counted with them, and triples, the longest
+        found = found.unionByName(_with_words(cut(more)))
     return found, total
 
 
