@@ -144,6 +144,33 @@ def break_cycles(edges: DataFrame, components: DataFrame) -> DataFrame:
     return both.filter((F.col("c_src") != F.col("c_dst")) | forward).select(P, "src", "dst")
 
 
+def witness_cycles(edges: DataFrame, components: DataFrame) -> DataFrame:
+    """(project_id, scc_id, cycle): for each component of two or more nodes one of its cycles, as a proof of it.
+
+    The cycle begins and ends at the smallest member and is the shortest one through it; of
+    several the smallest as an array. All components are searched at once from their
+    smallest members; of the ways to a node the smallest is kept, and a component that has
+    come back is done.
+    """
+    member = lambda k, c: components.select(P, F.col("node").alias(k), F.col("scc_id").alias(c))
+    inside = edges.filter("src <> dst").select(P, "src", "dst").distinct().join(member("src", "scc_id"), [P, "src"]).join(member("dst", "other"), [P, "dst"]).filter("scc_id = other")
+    inside = cut(inside.select(P, "scc_id", "src", "dst"))
+    way = inside.filter("src = scc_id").select(P, "scc_id", F.col("dst").alias("node"), F.array("src", "dst").alias("path"))
+    seen = done = None
+    while True:
+        if seen is not None:
+            way = way.join(seen, [P, "scc_id", "node"], "left_anti")
+        way, n = counted(way)
+        if not n:
+            break
+        back = way.filter("node = scc_id").select(P, "scc_id", F.col("path").alias("cycle"))
+        done = back if done is None else done.unionByName(back)
+        seen = way.select(P, "scc_id", "node") if seen is None else seen.unionByName(way.select(P, "scc_id", "node"))
+        open_ = way.join(back.select(P, "scc_id"), [P, "scc_id"], "left_anti")
+        way = open_.withColumnRenamed("node", "src").join(inside, [P, "scc_id", "src"]).groupBy(P, "scc_id", F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
+    return done if done is not None else way.select(P, "scc_id", F.col("path").alias("cycle"))
+
+
 def topological_levels(edges: DataFrame) -> DataFrame:
     """(project_id, node, level, rank) of acyclic edges: level is the longest way in, rank 0.. by (level, node).
 

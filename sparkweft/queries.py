@@ -282,11 +282,6 @@ def trust_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Portfolio.of(spark, sf_dir).clusters.select(P, "scc_id", "size", "risk_level", "max_cvss_in_cluster", "combined_blast_radius", "rank")
 
 
-@query(sql=with_tables("edges_dag") + ", lv AS (SELECT project_id, src AS node, 0 AS level FROM edges_dag UNION SELECT l.project_id, e.dst, l.level + 1 FROM lv l JOIN edges_dag e ON e.project_id = l.project_id AND e.src = l.node), mx AS (SELECT project_id, node, max(level) AS level FROM lv GROUP BY ALL) SELECT project_id, node, level, row_number() OVER (PARTITION BY project_id ORDER BY level, node) - 1 AS rank FROM mx")
-def topo_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.topological_levels(*bridge(spark, sf_dir, "edges_dag"))
-
-
 @query(sql=with_tables("edges_p") + _scc("edges_p") + ", dg AS (SELECT project_id, dst AS node, count(*) AS d FROM edges_p GROUP BY ALL) SELECT e.project_id, e.src, e.dst FROM edges_p e JOIN comp a ON a.project_id = e.project_id AND a.node = e.src JOIN comp b ON b.project_id = e.project_id AND b.node = e.dst LEFT JOIN dg x ON x.project_id = e.project_id AND x.node = e.src LEFT JOIN dg y ON y.project_id = e.project_id AND y.node = e.dst WHERE a.scc_id <> b.scc_id OR coalesce(x.d, 0) > coalesce(y.d, 0) OR (coalesce(x.d, 0) = coalesce(y.d, 0) AND e.src < e.dst)")
 def break_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = cut(*bridge(spark, sf_dir, "edges_p"))
@@ -353,6 +348,28 @@ _ACYCLIC = (
 )
 
 
+@query(
+    sql=with_tables("edges_p") + _scc("edges_p") + _ACYCLIC
+    + ", lv AS (SELECT project_id, src AS node, 0 AS level FROM ac UNION SELECT l.project_id, e.dst, l.level + 1 FROM lv l JOIN ac e ON e.project_id = l.project_id AND e.src = l.node), mx AS (SELECT project_id, node, max(level) AS level FROM lv GROUP BY ALL) SELECT project_id, node, level, row_number() OVER (PARTITION BY project_id ORDER BY level, node) - 1 AS rank FROM mx"
+)
+def topo_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The levels of all projects' graphs, cycles broken."""
+    edges = cut(*bridge(spark, sf_dir, "edges_p"))
+    return graph.topological_levels(graph.break_cycles(edges, graph.scc(edges)))
+
+
+@query(
+    sql=with_tables("edges_c") + _scc("edges_c")
+    + ", ins AS (SELECT e.project_id, a.scc_id, e.src, e.dst FROM edges_c e JOIN comp a ON a.project_id = e.project_id AND a.node = e.src JOIN comp b ON b.project_id = e.project_id AND b.node = e.dst WHERE a.scc_id = b.scc_id)"
+    ", bfs(project_id, scc_id, node, path) USING KEY (project_id, scc_id, node) AS (SELECT project_id, scc_id, dst, [src, dst] FROM ins WHERE src = scc_id UNION SELECT b.project_id, b.scc_id, i.dst, min(list_append(b.path, i.dst)) FROM bfs b JOIN ins i ON i.project_id = b.project_id AND i.scc_id = b.scc_id AND i.src = b.node LEFT JOIN recurring.bfs r ON r.project_id = b.project_id AND r.scc_id = b.scc_id AND r.node = i.dst WHERE r.path IS NULL AND b.node <> b.scc_id GROUP BY b.project_id, b.scc_id, i.dst)"
+    " SELECT project_id, scc_id, array_to_string(path, '>') AS cycle, len(path) - 1 AS length FROM bfs WHERE node = scc_id"
+)
+def cycle_witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shortest cycle through the smallest member of each circular component."""
+    edges = cut(*bridge(spark, sf_dir, "edges_c"))
+    return graph.witness_cycles(edges, graph.scc(edges)).select(P, "scc_id", F.array_join("cycle", ">").alias("cycle"), (F.size("cycle") - 1).cast("bigint").alias("length"))
+
+
 @query(
     sql=with_tables("edges_p", "nodes") + _scc("edges_p") + _ACYCLIC
     + ", ways AS (SELECT project_id, src AS node, 0 AS level FROM ac UNION SELECT l.project_id, e.dst, l.level + 1 FROM ways l JOIN ac e ON e.project_id = l.project_id AND e.src = l.node), mx AS (SELECT project_id, node, max(level) AS level FROM ways GROUP BY ALL) SELECT n.project_id, n.name AS package, row_number() OVER (PARTITION BY n.project_id ORDER BY coalesce(m.level, 0), n.name) - 1 AS update_rank FROM nodes n LEFT JOIN mx m ON m.project_id = n.project_id AND m.node = n.name"

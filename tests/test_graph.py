@@ -1,6 +1,7 @@
 """Graph operators on small graphs with known answers, and invariants."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -189,3 +190,23 @@ def test_diff_and_reports(spark):
     summary = report.risk_summary(blast, none, projects)
     assert {tuple(r) for r in summary.collect()} == {("a", "HIGH"), ("b", "CLEAN")}
     assert [r[P] for r in report.ci_gate(summary, "HIGH").collect()] == ["a"]
+
+
+def test_witness_cycles(spark):
+    """Every component of two or more has one cycle of its own edges, the shortest through its smallest member."""
+    rng = random.Random(8)
+    edges = sorted({(p, rng.randrange(14), rng.randrange(14)) for p in range(12) for _ in range(8 + 2 * p)})
+    df = spark.createDataFrame(edges, "project_id int, src int, dst int")
+    components = graph.scc(df).collect()
+    scc = {(r["project_id"], r["node"]): r["scc_id"] for r in components}
+    size = Counter((r["project_id"], r["scc_id"]) for r in components)
+    got = {(r["project_id"], r["scc_id"]): r["cycle"] for r in graph.witness_cycles(df, graph.scc(df)).collect()}
+    assert set(got) == {k for k, n in size.items() if n >= 2}
+    own = {p: {(a, b) for q, a, b in edges if q == p and a != b and scc[p, a] == scc[p, b]} for p in range(12)}
+    for (p, c), cycle in got.items():
+        best, ways = None, [[c]]
+        while best is None:
+            ways = [w + [b] for w in ways for a, b in own[p] if a == w[-1] and (b == c or b not in w)]
+            best = min((w for w in ways if w[-1] == c), default=None)
+        assert cycle == best and cycle[0] == cycle[-1] == c
+    assert graph.witness_cycles(df.limit(0), graph.scc(df.limit(0))).count() == 0
