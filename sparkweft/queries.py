@@ -359,14 +359,14 @@ def topo_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    sql=with_tables("edges_c") + _scc("edges_c")
-    + ", ins AS (SELECT e.project_id, a.scc_id, e.src, e.dst FROM edges_c e JOIN comp a ON a.project_id = e.project_id AND a.node = e.src JOIN comp b ON b.project_id = e.project_id AND b.node = e.dst WHERE a.scc_id = b.scc_id)"
+    sql=with_tables("edges_p") + _scc("edges_p")
+    + ", ins AS (SELECT e.project_id, a.scc_id, e.src, e.dst FROM edges_p e JOIN comp a ON a.project_id = e.project_id AND a.node = e.src JOIN comp b ON b.project_id = e.project_id AND b.node = e.dst WHERE a.scc_id = b.scc_id)"
     ", bfs(project_id, scc_id, node, path) USING KEY (project_id, scc_id, node) AS (SELECT project_id, scc_id, dst, [src, dst] FROM ins WHERE src = scc_id UNION SELECT b.project_id, b.scc_id, i.dst, min(list_append(b.path, i.dst)) FROM bfs b JOIN ins i ON i.project_id = b.project_id AND i.scc_id = b.scc_id AND i.src = b.node LEFT JOIN recurring.bfs r ON r.project_id = b.project_id AND r.scc_id = b.scc_id AND r.node = i.dst WHERE r.path IS NULL AND b.node <> b.scc_id GROUP BY b.project_id, b.scc_id, i.dst)"
     " SELECT project_id, scc_id, array_to_string(path, '>') AS cycle, len(path) - 1 AS length FROM bfs WHERE node = scc_id"
 )
 def cycle_witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A shortest cycle through the smallest member of each circular component."""
-    edges = cut(*bridge(spark, sf_dir, "edges_c"))
+    edges = cut(*bridge(spark, sf_dir, "edges_p"))
     return graph.witness_cycles(edges, graph.scc(edges)).select(P, "scc_id", F.array_join("cycle", ">").alias("cycle"), (F.size("cycle") - 1).cast("bigint").alias("length"))
 
 
