@@ -175,15 +175,17 @@ def counted_phrases(docs: DataFrame, now: Filter | None = None, before: list[Fil
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            words, langs = pa.array(block.words, pa.binary()).cast(pa.string()), pa.array(block.langs, pa.string())
+            words = pa.array(block.words, pa.binary()).cast(pa.string())
+            heads = pc.binary_join_element_wise(pa.array(block.langs, pa.string()), words, "\t")
             for *numbers, n in _phrases(block, now, before, longest):
                 for i in range(0, len(n), HANDED):
                     own = [x[i : i + HANDED] for x in numbers]
-                    phrase = pc.binary_join_element_wise(*(words.take(pa.array(x)) for x in own), " ")
-                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(own[0])), phrase, pa.array(n[i : i + HANDED], pa.int64())], ["lang", "phrase", "c"])
+                    key = pc.binary_join_element_wise(heads.take(pa.array(own[0])), *(words.take(pa.array(x)) for x in own[1:]), " ")
+                    yield pa.RecordBatch.from_arrays([key, pa.array(n[i : i + HANDED], pa.int64())], ["key", "c"])
 
-    every = docs.select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(run, "lang string, phrase string, c long")
-    return every.groupBy("lang", "phrase").agg(F.sum("c").alias("f"))
+    every = docs.select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(run, "key string, c long")
+    phrase = F.substring_index("key", "\t", -1)  # no word holds a tab
+    return every.groupBy("key").agg(F.sum("c").alias("f")).select(F.expr("left(key, length(key) - length(substring_index(key, '\t', -1)) - 1)").alias("lang"), phrase.alias("phrase"), "f")
 
 
 def _with_words(phrases: DataFrame) -> DataFrame:
