@@ -2,8 +2,8 @@
 
 A key is an array of parts, each a number or a string. Comparison goes part by part;
 where one part is a number and the other a string both compare as strings, which is
-not transitive (2 < 10 < "10a" < 2), so there is no sort key and comparison stays a
-predicate on pairs.
+not transitive (2 < 10 < "10a" < 2), so there is no sort key for all versions and
+comparison stays a predicate on pairs. Versions of numbers alone do have one.
 """
 
 from __future__ import annotations
@@ -107,6 +107,12 @@ def compare_keys(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, one), F.lit(0), lambda acc, x: F.when(acc != 0, acc).otherwise(x))
 
 
+def sort_key(key: Column) -> Column:
+    """A key of numbers alone as an array of bigints that sorts as the versions compare; null for all other keys."""
+    plain = (F.size(key) <= MOST) & F.forall(key, lambda p: p["n"].isNotNull() & p["s"].isNull())
+    return F.when(plain, F.transform(F.sequence(F.lit(0), F.lit(MOST - 1)), lambda i: F.coalesce(F.get(key, i)["n"], F.lit(0).cast("bigint"))))
+
+
 def with_keys(df: DataFrame, version: str, key: str) -> DataFrame:
     """Adds the key of a version column; each different version is parsed once."""
     keys = df.select(version).distinct().withColumn(key, parse_version(F.col(version))).withColumnRenamed(version, "__v")

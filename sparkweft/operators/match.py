@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.names import normalise_name
 from ..functions.scores import bloom_bits, bloom_hashes
-from ..functions.versions import bound_key, parse_version, range_contains
+from ..functions.versions import bound_key, parse_version, range_contains, sort_key
+from ..session import cut
+from .intervals import points_in_ranges
 
 P = "project_id"
 
@@ -18,22 +20,35 @@ P = "project_id"
 def match_cves(nodes: DataFrame, cves: DataFrame, ecosystem_aware: bool = False, match_artifact: bool = False) -> DataFrame:
     """(project_id, name, cve_id, cvss_score): versions of nodes within the CVEs' ranges.
 
-    The different (name, version) of all nodes, far fewer than the nodes, meet the ranges
-    in an equi-join on the normalised name with the range as its residual; a version's
-    key is made once, however many nodes have it. What matches goes back to the nodes by
-    name and version. ``ecosystem_aware`` also asks for the same ecosystem, or an unknown
-    one, of the CVE; ``match_artifact`` matches the part of a name after ``:`` or ``/``.
+    The different (name, version) of all nodes, far fewer than the nodes, meet the ranges;
+    a version's key is made once, however many nodes have it. Versions and ranges of
+    numbers alone have a total order and meet by :func:`points_in_ranges`, an equi-join
+    that makes no pair but the matches. Where a version or an end has other parts, order
+    isn't transitive: those alone meet on the normalised name with the range as the
+    residual. What matches goes back to the nodes by name and version.
+    ``ecosystem_aware`` also asks for the same ecosystem, or an unknown one, of the CVE;
+    ``match_artifact`` matches the part of a name after ``:`` or ``/``.
     """
     name = F.element_at(F.split("name", "[:/]"), -1) if match_artifact else F.col("name").cast("string")
     what = ["name", "version", *(["ecosystem"] if ecosystem_aware else [])]
     known = cves.select(normalise_name(F.col("package_name").cast("string")).alias("key")).distinct()
     left = nodes.select(*what).distinct().withColumn("key", normalise_name(name)).join(known, "key", "left_semi").withColumn("v", parse_version(F.col("version")))
+    left = cut(left.withColumn("v_sort", sort_key(F.col("v"))))
     right = cves.select(
         "cve_id", "cvss_score", F.col("ecosystem").alias("cve_ecosystem"), normalise_name(F.col("package_name").cast("string")).alias("key"),
         bound_key(F.col("version_start")).alias("lo"), bound_key(F.col("version_end")).alias("hi"), "version_start_incl", "version_end_excl",
     )
+    right = right.withColumn("lo_sort", sort_key(F.col("lo"))).withColumn("hi_sort", sort_key(F.col("hi")))
+    plain = (F.col("lo").isNull() | F.col("lo_sort").isNotNull()) & (F.col("hi").isNull() | F.col("hi_sort").isNotNull())
+    right = cut(right.withColumn("plain", plain))
+    sorted_, mixed = left.filter("v_sort IS NOT NULL"), left.filter("v_sort IS NULL")
+    hits = points_in_ranges(
+        sorted_, right.filter("plain"), ["key"], "v_sort", "lo_sort", "hi_sort",
+        F.coalesce("version_start_incl", F.lit(False)), ~F.coalesce("version_end_excl", F.lit(False)),
+    )
     within = range_contains(F.col("v"), F.col("lo"), F.col("hi"), F.col("version_start_incl"), F.col("version_end_excl"))
-    hits = left.join(right, "key").filter(within)
+    for a, b in ((mixed, right), (sorted_, right.filter("NOT plain"))):
+        hits = hits.unionByName(a.join(b, "key").filter(within))
     if ecosystem_aware:
         hits = hits.filter((F.col("cve_ecosystem") == F.col("ecosystem")) | (F.col("cve_ecosystem") == "unknown"))
     hits = hits.select(*(F.col(c).alias(f"__{c}") for c in what), "cve_id", "cvss_score").distinct()

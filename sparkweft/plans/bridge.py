@@ -22,7 +22,7 @@ def _edges(node: str) -> str:
     )
 
 
-_VERSION = "concat(CAST(floor(p_size / 10) AS BIGINT), '.', p_size % 10, '.', p_partkey % 10)"
+_VERSION = "concat(CAST(floor(p_size / 10) AS BIGINT), '.', p_size % 10, '.', p_partkey % 10, CASE WHEN p_partkey % 5 = 2 THEN concat('-rc.', p_partkey % 4) ELSE '' END)"
 _ECOSYSTEM = "CASE WHEN p_partkey % 3 = 0 THEN 'npm' WHEN p_partkey % 3 = 1 THEN 'pip' ELSE 'maven' END"
 
 #: Name -> SQL with the tables it reads in braces; a definition may use those before it.
@@ -35,7 +35,7 @@ TABLES = {
         "SELECT concat('CVE-', p_partkey, '-', k) AS cve_id, p_partkey AS package_name, "
         f"{_ECOSYSTEM} AS ecosystem, "
         "CASE WHEN k = 0 THEN '' ELSE concat(CAST(floor(p_size / 10) AS BIGINT), '.', (p_size % 10) - (p_size % 10) % 4, '.0') END AS version_start, "
-        "CASE WHEN (p_partkey + k) % 3 = 0 THEN '' ELSE concat(CAST(floor(p_size / 10) AS BIGINT), '.', p_size % 10, '.4') END AS version_end, "
+        "CASE WHEN (p_partkey + k) % 3 = 0 THEN '' ELSE concat(CAST(floor(p_size / 10) AS BIGINT), '.', p_size % 10, '.4', CASE WHEN p_partkey % 11 = 0 THEN '-rc.2' ELSE '' END) END AS version_end, "
         "(p_partkey + k) % 2 = 0 AS version_start_incl, (p_partkey + k) % 4 < 2 AS version_end_excl, "
         "CAST((p_partkey * 37 + k * 11) % 101 AS DOUBLE) / 10 AS cvss_score FROM {part} CROSS JOIN (VALUES (0), (1)) AS t(k) WHERE p_partkey % 7 IN (0, 3)"
     ),

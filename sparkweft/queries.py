@@ -42,7 +42,8 @@ def oracle_sql() -> dict[str, str]:
 
 
 # Pieces of the SQL twins.
-_KEY = "list_transform(string_split({0}, '.'), lambda t: TRY_CAST(t AS BIGINT))"
+# Here a version is three numbers and perhaps a label, which is compared as text; its place is a 0 where there is none.
+_KEY = "{{'n': list_transform(string_split(split_part({0}, '-', 1), '.'), lambda t: TRY_CAST(t AS BIGINT)), 'label': CASE WHEN contains({0}, '-') THEN split_part({0}, '-', 2) ELSE '0' END}}"
 _LOW = f"(c.version_start = '' OR CASE WHEN c.version_start_incl THEN {_KEY.format('n.version')} >= {_KEY.format('c.version_start')} ELSE {_KEY.format('n.version')} > {_KEY.format('c.version_start')} END)"
 _HIGH = f"(c.version_end = '' OR CASE WHEN c.version_end_excl THEN {_KEY.format('n.version')} < {_KEY.format('c.version_end')} ELSE {_KEY.format('n.version')} <= {_KEY.format('c.version_end')} END)"
 _MATCH = f"m AS (SELECT n.project_id, n.name, c.cve_id, c.cvss_score FROM nodes n JOIN cves c ON c.package_name = n.name WHERE {_LOW} AND {_HIGH})"

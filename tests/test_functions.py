@@ -119,3 +119,10 @@ def test_numbers_of_any_length(spark):
 def test_a_key_names_each_step_once(spark):
     df = spark.createDataFrame([("1.2.3-rc",)], "v string").select(versions.parse_version(F.col("v")).alias("k"))
     assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") < 10
+
+
+def test_versions_of_numbers_alone_have_a_sort_key(spark):
+    plain = {v for v, k in KEYS.items() if all(isinstance(p, int) and p < versions.HUGE for p in k)}
+    got = dict(zip(KEYS, values(spark, lambda x: versions.sort_key(versions.parse_version(x)), list(KEYS)), strict=True))
+    assert {v for v, k in got.items() if k is not None} == plain
+    assert all((got[a] > got[b]) - (got[a] < got[b]) == compared(KEYS[a], KEYS[b]) for a in plain for b in plain)
