@@ -53,7 +53,7 @@ def match_cves(nodes: DataFrame, cves: DataFrame, ecosystem_aware: bool = False,
         hits = hits.filter((F.col("cve_ecosystem") == F.col("ecosystem")) | (F.col("cve_ecosystem") == "unknown"))
     hits = hits.select(*(F.col(c).alias(f"__{c}") for c in what), "cve_id", "cvss_score").distinct()
     same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in what))
-    return nodes.select(P, *what).distinct().join(hits, same).select(P, "name", "cve_id", "cvss_score").distinct()
+    return nodes.select(P, *what).join(hits, same).select(P, "name", "cve_id", "cvss_score").distinct()
 
 
 def lookup_package_cves(packages: DataFrame, cves: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from ..constants import BLAST_THRESHOLD
 from ..functions.scores import effort, savings_pct
 from ..session import cut
 from .graph import break_cycles, scc, topological_levels
-from .reach import metric_closure, mst
+from .reach import mst, near_closure
 
 P = "project_id"
 
@@ -61,7 +61,7 @@ def minimum_patch_set(edges: DataFrame, blast: DataFrame, paths: DataFrame, thre
     patched package breaks it; ``paths_covered`` counts those that hold a chosen package.
     """
     ends = cut(terminals(blast, threshold))
-    closure = cut(metric_closure(edges, ends, max_hops))
+    closure = cut(near_closure(edges, ends, max_hops))
     candidates = patch_candidates(mst(closure), closure, ends)
     cover = path_cover(candidates, paths, ends)
     single = ends.groupBy(P).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("package")).filter("n = 1").select(P, "package")

@@ -98,24 +98,37 @@ def attack_paths(edges: DataFrame, blast: DataFrame, sinks: DataFrame, max_nodes
     return rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
 
 
-def metric_closure(edges: DataFrame, terminals: DataFrame, max_hops: int | None = None) -> DataFrame:
-    """(project_id, u, v, weight, path) for each pair u < v of a project's terminals (project_id, node).
+def _both_ways(edges: DataFrame) -> DataFrame:
+    """(project_id, at, to): the steps over edges taken both ways."""
+    plain = edges.filter("src <> dst")
+    return cut(plain.select(P, F.col("src").alias("at"), F.col("dst").alias("to")).unionByName(plain.select(P, F.col("dst").alias("at"), F.col("src").alias("to"))).distinct())
 
-    Hop distance over edges taken both ways, by a breadth-first search from all terminals
-    at once that keeps each node's smallest shortest path; pairs that don't meet have
-    weight 1000 and no path.
-    """
-    both = cut(edges.filter("src <> dst").select(P, F.col("src").alias("at"), F.col("dst").alias("to")).unionByName(edges.filter("src <> dst").select(P, F.col("dst").alias("at"), F.col("src").alias("to"))).distinct())
-    terminals = terminals.select(P, "node").distinct()
-    frontier = cut(terminals.select(P, F.col("node").alias("u"), "node", F.array("node").alias("path")))
+
+def _shortest_ways(steps: DataFrame, starts: DataFrame, max_hops: int | None) -> DataFrame:
+    """(project_id, u, node, path): the smallest shortest path from each start (project_id, node, most) to all within ``most`` steps (null: any)."""
+    frontier = cut(starts.select(P, F.col("node").alias("u"), "node", "most", F.array("node").alias("path")))
     seen, hops = frontier, 0
     while max_hops is None or hops < max_hops:
         hops += 1
-        new = frontier.withColumnRenamed("node", "at").join(both, [P, "at"]).groupBy(P, "u", F.col("to").alias("node")).agg(F.min(F.concat("path", F.array("to"))).alias("path"))
+        open_ = frontier.filter(F.col("most").isNull() | (F.col("most") >= hops))
+        new = open_.withColumnRenamed("node", "at").join(steps, [P, "at"]).groupBy(P, "u", F.col("to").alias("node")).agg(F.min(F.concat("path", F.array("to"))).alias("path"), F.first("most").alias("most"))
         frontier, n = counted(new.join(seen.select(P, "u", "node"), [P, "u", "node"], "left_anti"))
         if not n:
             break
         seen = seen.unionByName(frontier)
+    return seen.select(P, "u", "node", "path")
+
+
+def metric_closure(edges: DataFrame, terminals: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """(project_id, u, v, weight, path) for each pair u < v of a project's terminals (project_id, node).
+
+    Hop distance over edges taken both ways, by a breadth-first search from all terminals
+    at once that keeps each node's smallest shortest path; pairs that don't meet have
+    weight 1000 and no path. All pairs are its result: see :func:`near_closure` for those
+    that a spanning tree can use.
+    """
+    terminals = terminals.select(P, "node").distinct()
+    seen = _shortest_ways(_both_ways(edges), terminals.withColumn("most", F.lit(None).cast("int")), max_hops)
     pairs = terminals.select(P, F.col("node").alias("u")).join(terminals.select(P, F.col("node").alias("v")), P).filter("u < v")
     found = seen.select(P, "u", F.col("node").alias("v"), "path")
     return pairs.join(found, [P, "u", "v"], "left").select(P, "u", "v", F.coalesce(F.size("path") - 1, F.lit(UNREACHABLE)).alias("weight"), "path").select(
@@ -123,6 +136,51 @@ def metric_closure(edges: DataFrame, terminals: DataFrame, max_hops: int | None
     )
 
 
+def _regions(steps: DataFrame, terminals: DataFrame) -> DataFrame:
+    """(project_id, node, root, far): the nearest terminal of each node, the smallest of equally near ones, and its distance."""
+    frontier, n = counted(terminals.select(P, "node", F.col("node").alias("root"), F.lit(0).alias("far")))
+    seen, far = frontier, 0
+    while n:
+        far += 1
+        new = frontier.select(P, F.col("node").alias("at"), "root").join(steps, [P, "at"]).groupBy(P, F.col("to").alias("node")).agg(F.min("root").alias("root"))
+        frontier, n = counted(new.join(seen, [P, "node"], "left_anti").withColumn("far", F.lit(far)))
+        seen = seen.unionByName(frontier)
+    return seen
+
+
+def border_tree(edges: DataFrame, terminals: DataFrame, steps: DataFrame | None = None) -> DataFrame:
+    """(project_id, u, v, weight): a minimum spanning forest of the terminals' distances, without the distances.
+
+    One search from all terminals at once gives each node its nearest terminal. An edge
+    between two regions is a way between their terminals; the shortest one of each pair of
+    neighbouring regions is enough for a forest of the same weights as that of all pairs.
+    There are at most as many rows as nodes and edges, however many terminals there are.
+    Terminals that don't meet stay apart. Which of equally heavy trees comes out may differ
+    from that of all pairs.
+    """
+    steps = _both_ways(edges) if steps is None else steps
+    regions = cut(_regions(steps, terminals.select(P, "node").distinct()))
+    side = lambda c, k: regions.select(P, F.col("node").alias(c), F.col("root").alias(k), F.col("far").alias(f"far_{k}"))
+    border = steps.join(side("at", "u"), [P, "at"]).join(side("to", "v"), [P, "to"]).filter("u < v")
+    return mst(border.groupBy(P, "u", "v").agg(F.min(F.col("far_u") + F.col("far_v") + 1).alias("weight")))
+
+
+def near_closure(edges: DataFrame, terminals: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """The rows of :func:`metric_closure` that its spanning tree can have: pairs no further apart than the tree's longest edge.
+
+    All minimum spanning trees have the same weights, so :func:`border_tree` tells the
+    longest edge in each project before any pair is searched, and a search from a
+    terminal ends there. The tree of these pairs, ties by (weight, u, v), is that of all
+    pairs but for pairs that don't meet, which have no path. A project of one terminal is
+    not searched at all.
+    """
+    steps = _both_ways(edges)
+    most = border_tree(edges, terminals, steps).groupBy(P).agg(F.max("weight").cast("int").alias("most"))
+    seen = _shortest_ways(steps, terminals.select(P, "node").distinct().join(most, P), max_hops)
+    met = seen.join(terminals.select(P, "node").distinct(), [P, "node"], "left_semi").filter("u < node")
+    return met.select(P, "u", F.col("node").alias("v"), (F.size("path") - 1).alias("weight"), "path")
+
+
 def mst(closure: DataFrame) -> DataFrame:
     """Minimum spanning tree of each project's closure, by the total order (weight, u, v); Boruvka rounds."""
     pairs = cut(closure.select(P, "u", "v", "weight"))

@@ -63,13 +63,13 @@ _BAND = "CASE WHEN {0} >= 9 THEN 'CRITICAL' WHEN {0} >= 7 THEN 'HIGH' WHEN {0} >
 @query(sql=with_tables("nodes", "cves") + f", {_MATCH} SELECT DISTINCT project_id, name, cve_id, cvss_score FROM m")
 def version_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, cves = bridge(spark, sf_dir, "nodes", "cves")
-    return match.match_cves(nodes, cves)
+    return match.match_cves(cut(nodes), cves)
 
 
 @query(sql=with_tables("nodes", "cves") + f", {_VULN} SELECT project_id, name, cvss_score, array_to_string(ids, ',') AS cve_ids, ids[1] AS primary_cve FROM vuln")
 def vulnerable_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, cves = bridge(spark, sf_dir, "nodes", "cves")
-    return match.vulnerable_nodes(match.match_cves(nodes, cves)).withColumn("cve_ids", F.array_join("cve_ids", ","))
+    return match.vulnerable_nodes(match.match_cves(cut(nodes), cves)).withColumn("cve_ids", F.array_join("cve_ids", ","))
 
 
 @query(sql=with_tables("nodes", "cves") + " SELECT project_id, name FROM nodes WHERE name IN (SELECT package_name FROM cves)")
@@ -392,12 +392,14 @@ def minimum_patch_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, cves = bridge(spark, sf_dir, "nodes", "cves")
+    nodes = cut(nodes)
     return report.severity_counts(nodes, match.vulnerable_nodes(match.match_cves(nodes, cves)))
 
 
 @query(sql=with_tables("nodes", "cves") + f", {_VULN}, b AS (SELECT n.project_id, n.ecosystem, {_BAND.format('coalesce(v.cvss_score, 0)')} AS severity FROM nodes n LEFT JOIN vuln v ON v.project_id = n.project_id AND v.name = n.name) SELECT ecosystem, severity, count(*) AS packages, count(DISTINCT project_id) AS projects FROM b GROUP BY ROLLUP (ecosystem, severity)")
 def portfolio_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, cves = bridge(spark, sf_dir, "nodes", "cves")
+    nodes = cut(nodes)
     return report.portfolio_rollup(match.vulnerable_nodes(match.match_cves(nodes, cves)), nodes)
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkweft import queries as library
-from sparkweft.operators import patchset
+from sparkweft.operators import patchset, reach
 from sparkweft.plans.portfolio import Portfolio
 
 #: Two vulnerable packages, 21 and 24, six hops apart; their attack paths to the sink 12 meet at 4.
@@ -159,3 +159,30 @@ def test_report_is_made_of_the_stages(spark, far):
         assert [x["nodes"] for x in r["circular_trust_clusters"] or []] == [x["nodes"] for x in clusters.get(k, [])]
         assert r["risk"] == summary[k] and (r["minimum_patch_set"] or {}).get("packages_to_update") == sets.get(k)
     assert {r["project_id"]: r["total"] for r in rows.values()} == {r["project_id"]: r["n"] for r in p.nodes.groupBy("project_id").agg(F.count_distinct("name").alias("n")).collect()}
+
+
+def test_trees_without_all_pairs(spark):
+    """Border trees weigh as much as those of all pairs; near pairs give the very tree of all pairs, ties included."""
+    rng = random.Random(31)
+    links, ends = set(), set()
+    for project in range(25):
+        n = rng.randint(3, 24)
+        links |= {(project, rng.randrange(n), rng.randrange(n)) for _ in range(rng.randint(2, 2 * n))}  # loops and parts that don't meet too
+        ends |= {(project, x) for x in rng.sample(range(n), rng.randint(1, min(n, 9)))}
+    edges, terminals = spark.createDataFrame(sorted(links), "project_id long, src long, dst long"), spark.createDataFrame(sorted(ends), "project_id long, node long")
+    every = reach.metric_closure(edges, terminals)
+    full = {tuple(r) for r in reach.mst(every).collect() if r["weight"] < 1000}
+    weights = lambda rows: Counter((r[0], r[3]) for r in rows)
+    assert weights(reach.border_tree(edges, terminals).collect()) == weights(full) and len(full) > 40
+    near = reach.near_closure(edges, terminals)
+    assert {tuple(r) for r in reach.mst(near).collect()} == full
+    rows = {tuple(map(str, r)) for r in every.collect()}
+    assert {tuple(map(str, r)) for r in near.collect()} < rows
+
+
+def test_trees_of_a_grid_search_near_pairs_alone(spark):
+    """Every node of a path is a terminal: only neighbours are pairs."""
+    edges = spark.createDataFrame([(1, k, k + 1) for k in range(30)], "project_id long, src long, dst long")
+    terminals = spark.createDataFrame([(1, k) for k in range(31)], "project_id long, node long")
+    assert sorted((r["u"], r["v"]) for r in reach.near_closure(edges, terminals).collect()) == [(k, k + 1) for k in range(30)]
+    assert reach.near_closure(edges, terminals.limit(1)).isEmpty() and reach.near_closure(edges.limit(0), terminals).isEmpty()
