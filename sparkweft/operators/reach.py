@@ -182,7 +182,7 @@ def near_closure(edges: DataFrame, terminals: DataFrame, max_hops: int | None =
 
 
 def mst(closure: DataFrame) -> DataFrame:
-    """Minimum spanning tree of each project's closure, by the total order (weight, u, v); Boruvka rounds."""
+    """Minimum spanning tree of each project's closure, by the total order (weight, u, v); Boruvka rounds, parts merged by pointer jumping."""
     pairs = cut(closure.select(P, "u", "v", "weight"))
     label = cut(pairs.select(P, F.col("u").alias("node")).unionByName(pairs.select(P, F.col("v").alias("node"))).distinct().withColumn("c", F.col("node")))
     tree = None
@@ -190,18 +190,20 @@ def mst(closure: DataFrame) -> DataFrame:
         side = lambda k: label.select(P, F.col("node").alias(k), F.col("c").alias(f"c{k}"))
         cross = pairs.join(side("u"), [P, "u"]).join(side("v"), [P, "v"]).filter("cu <> cv")
         ends = cross.select(P, F.col("cu").alias("c"), "u", "v", "weight", "cu", "cv").unionByName(cross.select(P, F.col("cv").alias("c"), "u", "v", "weight", "cu", "cv"))
-        best, n = counted(ends.groupBy(P, "c").agg(F.min(F.struct("weight", "u", "v", "cu", "cv")).alias("__edge")).select(P, "__edge.*").distinct())
+        best, n = counted(ends.groupBy(P, "c").agg(F.min(F.struct("weight", "u", "v", "cu", "cv")).alias("__edge")).select(P, "c", "__edge.*"))
         if not n:
             break
-        own = best.select(P, "u", "v", "weight")
+        own = best.select(P, "u", "v", "weight").distinct()
         tree = own if tree is None else tree.unionByName(own)
-        names = cut(label.select(P, "c").distinct().withColumn("to", F.col("c")))
-        links = best.select(P, F.col("cu").alias("c"), F.col("cv").alias("d")).unionByName(best.select(P, F.col("cv").alias("c"), F.col("cu").alias("d")))
-        while True:  # the smallest name spreads over the chosen edges
-            low = links.join(names.select(P, F.col("c").alias("d"), F.col("to").alias("t")), [P, "d"]).groupBy(P, "c").agg(F.min("t").alias("t"))
-            new = cut(names.join(low, [P, "c"], "left").select(P, "c", F.least("to", F.coalesce("t", "to")).alias("to"), F.col("to").alias("old")))
-            names = new.drop("old")
-            if new.filter("to <> old").isEmpty():
+        # each part points over its best edge; where two point at each other the smaller is the root
+        up = best.select(P, "c", F.when(F.col("cu") == F.col("c"), F.col("cv")).otherwise(F.col("cu")).alias("to"))
+        back = up.select(P, F.col("c").alias("to"), F.col("to").alias("back"))
+        names = cut(up.join(back, [P, "to"]).select(P, "c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("to")))
+        while True:  # ways to the root halve in a round
+            jump = names.select(P, F.col("c").alias("to"), F.col("to").alias("next"))
+            new = cut(names.join(jump, [P, "to"]).select(P, "c", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")))
+            names = new.drop("moved")
+            if new.filter("moved").isEmpty():
                 break
-        label = cut(label.join(names, [P, "c"]).select(P, "node", F.col("to").alias("c")))
+        label = cut(label.join(names, [P, "c"], "left").select(P, "node", F.coalesce("to", "c").alias("c")))
     return tree if tree is not None else pairs.limit(0)
