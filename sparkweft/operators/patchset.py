@@ -9,7 +9,7 @@ from ..constants import BLAST_THRESHOLD
 from ..functions.scores import effort, savings_pct
 from ..session import cut
 from .graph import break_cycles, scc, topological_levels
-from .reach import mst, near_closure
+from .reach import metric_closure, mst, near_closure
 
 P = "project_id"
 
@@ -54,14 +54,16 @@ def update_order(edges: DataFrame, packages: DataFrame) -> DataFrame:
     return rows.select(P, "package", (F.row_number().over(Window.partitionBy(P).orderBy(F.coalesce("level", F.lit(0)), "package")) - 1).alias("update_rank"))
 
 
-def minimum_patch_set(edges: DataFrame, blast: DataFrame, paths: DataFrame, threshold: float = BLAST_THRESHOLD, max_hops: int | None = None) -> DataFrame:
+def minimum_patch_set(edges: DataFrame, blast: DataFrame, paths: DataFrame, threshold: float = BLAST_THRESHOLD, max_hops: int | None = None, near_pairs: bool = False) -> DataFrame:
     """One row per project with vulnerable nodes: the packages to update, in order, and what it saves.
 
     A single terminal is the set, with effort LOW. Every path counts as eliminated, as a
     patched package breaks it; ``paths_covered`` counts those that hold a chosen package.
+    With ``near_pairs`` only pairs of terminals that a spanning tree can use are searched:
+    the same rows in more, smaller rounds, for projects of many terminals.
     """
     ends = cut(terminals(blast, threshold))
-    closure = cut(near_closure(edges, ends, max_hops))
+    closure = cut((near_closure if near_pairs else metric_closure)(edges, ends, max_hops))
     candidates = patch_candidates(mst(closure), closure, ends)
     cover = path_cover(candidates, paths, ends)
     single = ends.groupBy(P).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("package")).filter("n = 1").select(P, "package")

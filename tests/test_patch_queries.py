@@ -114,7 +114,8 @@ def brute_patch(links, scores, paths, threshold):
     return brute_order(links, chosen), sum(bool(set(p) & chosen) for p in paths)
 
 
-def test_patch_sets_against_brute_force(spark):
+@pytest.mark.parametrize("near_pairs", [False, True])
+def test_patch_sets_against_brute_force(spark, near_pairs):
     rng = random.Random(19)
     edges, blast, paths, want = [], [], [], {}
     for project in range(12):
@@ -127,7 +128,7 @@ def test_patch_sets_against_brute_force(spark):
         paths += [(project, i, p) for i, p in enumerate(own)]
         want[project] = brute_patch(links, scores, own, 5.0)
     got = patchset.minimum_patch_set(
-        spark.createDataFrame(edges, "project_id long, src long, dst long"), spark.createDataFrame(blast, "project_id long, source_node long, blast_radius_score double, rank int"), spark.createDataFrame(paths, "project_id long, path_id long, path array<long>")
+        spark.createDataFrame(edges, "project_id long, src long, dst long"), spark.createDataFrame(blast, "project_id long, source_node long, blast_radius_score double, rank int"), spark.createDataFrame(paths, "project_id long, path_id long, path array<long>"), near_pairs=near_pairs
     )
     assert {r["project_id"]: (r["update_order"], r["paths_covered"]) for r in got.collect()} == want
     assert any(set(order) - {b[1] for b in blast if b[0] == project} for project, (order, _) in want.items())  # some packages between
