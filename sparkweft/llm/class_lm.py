@@ -199,9 +199,10 @@ def gains(g: np.ndarray, after: np.ndarray, before: np.ndarray, self_n: float) -
     ``after`` and ``before``: how often each class follows and precedes the type;
     ``self_n``: how often it follows itself (in neither). The likelihood of class
     bigrams is, up to a constant, the sum of n log n over class pairs less that over
-    classes, once as first and once as second.
+    classes, once as first and once as second. ``g`` lacks the type, but wherever it
+    goes, the classes before and after it have their bigrams with it.
     """
-    out, into, d = g.sum(1), g.sum(0), g.diagonal()
+    out, into, d = g.sum(1) + before, g.sum(0) + after, g.diagonal()
     k, m = np.flatnonzero(after), np.flatnonzero(before)
     gain = (xlogx(g[:, k] + after[k]) - xlogx(g[:, k])).sum(1) + (xlogx(g[m] + before[m, None]) - xlogx(g[m])).sum(0)
     gain += xlogx(d + after + before + self_n) - xlogx(d + after) - xlogx(d + before) + xlogx(d)
@@ -218,11 +219,17 @@ def best_class(g: np.ndarray, after: np.ndarray, before: np.ndarray, self_n: flo
     return b if gain[b] > gain[a] + LEAST_GAIN else a
 
 
+def likelihood(g: np.ndarray) -> float:
+    """Log-likelihood of class bigrams, up to a constant."""
+    return xlogx(g).sum() - xlogx(g.sum(1)).sum() - xlogx(g.sum(0)).sum()
+
+
 def exchange(pairs: np.ndarray, classes: int = CLASSES, passes: int | None = None) -> np.ndarray:
     """Exchange clustering of types by their bigram counts: each type in turn goes where the likelihood grows most.
 
-    Ends where a pass moves no type; every move makes the likelihood larger, so it does
-    end. END, type 0, keeps a class of its own.
+    Ends where a pass moves no type, or where its moves no longer raise the likelihood in
+    double precision (rounding errors alone made them, as can be with very large counts).
+    As every other pass raises it, no state comes again. END, type 0, keeps a class of its own.
     """
     n = pairs.sum(0) + pairs.sum(1)
     order = np.lexsort((np.arange(len(n)), -n))
@@ -234,7 +241,7 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, passes: int | None = Non
     member[np.arange(len(n)), of] = 1
     rows, cols = pairs @ member, member.T @ pairs  # type -> class, class -> type
     g = member.T @ rows
-    done = 0
+    done, best = 0, -np.inf
     while passes is None or done < passes:
         done, moved = done + 1, 0
         for w in order:
@@ -256,8 +263,10 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, passes: int | None = Non
                 rows[:, b] += pairs[:, w]
                 cols[a] -= pairs[w]
                 cols[b] += pairs[w]
-        if not moved:
+        reached = likelihood(g)
+        if not moved or reached <= best:
             break
+        best = reached
     return of
 
 

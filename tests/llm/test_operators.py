@@ -385,6 +385,63 @@ def test_exchange_ends_where_no_single_move_helps():
         assert likelihood(moved) <= likelihood(of) + 1e-6
 
 
+def skewed_pairs(seed, types=24):
+    """A table of bigram counts with few frequent types, many rare ones and uneven pairs."""
+    rng = np.random.default_rng(seed)
+    x = rng.zipf(1.3, types).astype(float).clip(1, 1e4)
+    return rng.poisson(np.outer(x, x) / x.sum() * rng.gamma(0.5, 2, (types, types))).astype(float)
+
+
+def class_likelihood(pairs, of, classes=5):
+    member = np.eye(classes)[of]
+    g = member.T @ pairs @ member
+    return class_lm.xlogx(g).sum() - class_lm.xlogx(g.sum(0)).sum() - class_lm.xlogx(g.sum(1)).sum()
+
+
+def test_gains_are_what_the_likelihood_grows_by():
+    for seed in range(10):
+        pairs, of = skewed_pairs(seed), np.r_[0, np.random.default_rng(seed).integers(1, 5, 23)]
+        for w in (1, 7, 23):
+            member = np.eye(5)[of]
+            member[w] = 0
+            gain = class_lm.gains(member.T @ pairs @ member, pairs[w] @ member, pairs[:, w] @ member, pairs[w, w])[1:]
+            grown = np.array([class_likelihood(pairs, np.r_[of[:w], k, of[w + 1 :]]) for k in range(1, 5)])
+            assert np.allclose(gain - gain[0], grown - grown[0], rtol=1e-9, atol=1e-6), (seed, w)
+
+
+@pytest.mark.parametrize("scale", [1, 10**6])
+def test_exchange_ends_on_skewed_tables(scale, monkeypatch):
+    """A gain that isn't the likelihood's has types go round and round; 100 passes are far more than are needed."""
+    calls, best_class = [0], class_lm.best_class
+
+    def counted(*args):
+        calls[0] += 1
+        assert calls[0] <= 100 * 23
+        return best_class(*args)
+
+    monkeypatch.setattr(class_lm, "best_class", counted)
+    for seed in range(12):
+        pairs, calls[0] = skewed_pairs(seed), 0
+        of = class_lm.exchange(pairs * scale, classes=5)
+        reached = class_likelihood(pairs, of)
+        for w, k in itertools.product(range(1, 24), range(1, 5)):
+            assert class_likelihood(pairs, np.r_[of[:w], k, of[w + 1 :]]) <= reached + 1e-6, (seed, w, k)
+
+
+def test_exchange_ends_where_moves_raise_nothing(monkeypatch):
+    """Moves that rounding errors make for ever end the exchange."""
+    calls = [0]
+
+    def wavering(g, after, before, self_n, a):
+        calls[0] += 1
+        assert calls[0] < 1000
+        return 1 + a % 4
+
+    monkeypatch.setattr(class_lm, "best_class", wavering)
+    of = class_lm.exchange(np.full((9, 9), 7.0), classes=5)
+    assert of[0] == 0 and ((of[1:] > 0) & (of[1:] < 5)).all()
+
+
 def test_toxicity(spark, none, labels):
     rng, rows, marks = random.Random(2), [], []
     for i in range(600):
