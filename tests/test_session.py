@@ -1,0 +1,19 @@
+"""Checkpoints and what they leave behind."""
+
+import time
+
+from pyspark.sql import functions as F
+
+from sparkweft.session import kept
+
+
+def test_a_kept_stage_leaves_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f for f in map(str, disk.getAllFiles().mkString("\n").split("\n")) if "shuffle_" in f}
+    before = shuffles()
+    out = kept(spark.range(5000).withColumn("k", F.col("id") % 97).repartition(3, "k").groupBy("k").agg(F.sum("id").alias("s")))
+    until = time.time() + 20
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert out.count() == 97
